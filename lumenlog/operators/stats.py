@@ -144,3 +144,24 @@ def array_median(values: Column) -> Column:
     low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
     high = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
     return (low + high) / 2.0
+
+
+def global_rank(df: DataFrame, ts: str, ties: list[str], name: str, bucket: str = "hour") -> DataFrame:
+    """Zero-based rank over all rows in time order, computed per time bucket.
+
+    Bucket counts are summed up front, so rows are only ever sorted inside their own bucket.
+    """
+    binned = df.withColumn("_bucket", F.date_trunc(bucket, ts))
+    before = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        binned.groupBy("_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_k", F.lit(0))
+        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("_bucket").orderBy(ts, *ties)
+    return (
+        binned.join(offsets, "_bucket")
+        .withColumn(name, F.row_number().over(inside) - 1 + F.col("_offset"))
+        .drop("_bucket", "_offset")
+    )

@@ -130,3 +130,61 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _INCIDENTS_FULL.format(base=base, updated=updated)
     df = spark.sql(text, orders=table(spark, sf_dir, "orders"))
     return df.withColumn("version", F.unix_micros("updated_at"))
+
+
+_VERSIONS = """
+SELECT concat('inc-', CAST(user_id AS VARCHAR(30))) AS incident_id, event_id AS version, user_id,
+       CASE event_type WHEN 'click' THEN 'acknowledged' WHEN 'view' THEN 'mitigated'
+            WHEN 'purchase' THEN 'resolved' WHEN 'signup' THEN 'reopened' ELSE 'open' END AS status,
+       {service} AS service,
+       CASE WHEN user_id % 3 < 2 THEN 'prod' ELSE 'qa' END AS environment,
+       CASE user_id % 3 WHEN 0 THEN 'backend' WHEN 1 THEN 'database' ELSE 'network' END AS category,
+       CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'error' WHEN 2 THEN 'warning'
+            WHEN 3 THEN 'info' ELSE 'debug' END AS severity,
+       sha1(concat('fp-', CAST(user_id AS VARCHAR(30)))) AS fingerprint,
+       concat('Case ', CAST(user_id AS VARCHAR(30)), ' in ', {service}) AS title,
+       {ts} AS opened_at, {ts} AS last_seen_at, {ts} AS updated_at, {ts} AS created_at,
+       CASE WHEN event_type = 'purchase' THEN {ts} END AS resolved_at,
+       CAST(event_id % 4 + 1 AS INT) AS affected_services, value AS impact_score, value / 10.0 AS burn_rate_1h,
+       concat(chr(123), '"custom": ', CAST(event_id AS VARCHAR(30)), ', "last_signal_count": 1', chr(125)) AS context_json
+FROM events
+"""
+
+_INCIDENT_EVENTS = """
+SELECT concat('evt-', CAST(event_id AS VARCHAR(30))) AS event_id,
+       concat('inc-', CAST(user_id AS VARCHAR(30))) AS incident_id,
+       CASE event_type WHEN 'error' THEN 'candidate_attached' WHEN 'signup' THEN 'opened'
+            WHEN 'purchase' THEN 'reopened' WHEN 'view' THEN 'rca_recomputed' ELSE 'acknowledged' END AS event_type,
+       {ts} AS event_time, 'harness' AS actor,
+       CASE WHEN event_type = 'error' AND event_id % 23 = 0 THEN 'not json'
+            WHEN event_type = 'error' THEN concat(chr(123), '"candidate_id": "c', CAST(event_id AS VARCHAR(30)),
+              '", "trace_ids": ["t', CAST(CAST(FLOOR(event_id / 4) AS BIGINT) AS VARCHAR(30)), '", "t',
+              CAST(CAST(FLOOR(event_id / 40) AS BIGINT) AS VARCHAR(30)), '", ""], "anomaly_score": ',
+              CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR(30)), chr(125))
+            WHEN event_type = 'view' THEN concat(chr(123), '"root_cause_service": "lookup", "root_cause_score": 0.5', chr(125))
+            ELSE concat(chr(123), chr(125)) END AS payload
+FROM events
+"""
+
+
+def _events_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    sql = text.format(ts="CAST(ts AS TIMESTAMP)", service=_PICK.format(col="user_id"))
+    return spark.sql(sql.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+def incident_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as incident snapshots, one version per event."""
+    return _events_sql(spark, sf_dir, _VERSIONS)
+
+
+def incident_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as the incident event log."""
+    return _events_sql(spark, sf_dir, _INCIDENT_EVENTS)
+
+
+def sql_incident_versions() -> str:
+    return _VERSIONS.format(ts="ts", service=_PICK.format(col="user_id"))
+
+
+def sql_incident_events() -> str:
+    return _INCIDENT_EVENTS.format(ts="ts", service="")
