@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from lumenlog.plans import incident_plans, log_plans, signal_plans  # noqa: F401
+from lumenlog.plans import incident_plans, log_plans, rca_plans, signal_plans  # noqa: F401
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401
