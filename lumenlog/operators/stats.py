@@ -141,8 +141,8 @@ def array_median(values: Column) -> Column:
     """Interpolated median of a short array column."""
     ordered = F.array_sort(values)
     n = F.size(values)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
+    low = F.get(ordered, F.floor((n + 1) / 2).cast("int") - 1)
+    high = F.get(ordered, F.floor(n / 2).cast("int"))
     return (low + high) / 2.0
 
 

@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from lumenlog.plans import incident_plans, log_plans, rca_plans, signal_plans  # noqa: F401
+from lumenlog.plans import (  # noqa: F401
+    incident_plans,
+    log_plans,
+    rca_plans,
+    risk_plans,
+    signal_plans,
+)
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401
