@@ -349,3 +349,52 @@ DETECTORS = ["mad_z", "classic_z", "rolling_z"]
 def detector_eval(spark, sf):
     rows = _truth(spark, sf).withColumns({d: F.round(d, 9) for d in DETECTORS})
     return ev.evaluate_detectors(rows, DETECTORS).select("detector", r6("roc_auc"), r6("pr_auc"), r6("fixed_f1"))
+
+
+HARNESS_ROUNDS, HARNESS_DEPTH = 12, 4
+
+
+def _model(spark, sf):
+    from lumenlog.operators import risk
+
+    labelled = ft.join_labels(_features(spark, sf), _labels(spark, sf))
+    return risk.train(labelled, rounds=HARNESS_ROUNDS, depth=HARNESS_DEPTH)
+
+
+@query("train_risk_model")
+def train_risk_model(spark, sf):
+    from lumenlog.operators import risk
+
+    return risk.training_report(*_model(spark, sf))
+
+
+@query("risk_scores")
+def risk_scores(spark, sf):
+    from lumenlog.operators import risk
+
+    model, rows = _model(spark, sf)
+    return risk.risk_scores(model, ft.latest_features(rows.drop("label", "is_train")))
+
+
+@query("risk_explain")
+def risk_explain(spark, sf):
+    from lumenlog.operators import risk
+
+    model, rows = _model(spark, sf)
+    return risk.explain(spark, model, ft.latest_features(rows.drop("label", "is_train")))
+
+
+@query("iforest_scores")
+def iforest_scores(spark, sf):
+    from lumenlog.operators.iforest import iforest_scores as score
+
+    return score(_detector_points(spark, sf))
+
+
+@query("iforest_eval")
+def iforest_eval(spark, sf):
+    from lumenlog.operators.iforest import iforest_scores as score
+
+    truth = _bursts(spark, sf).withColumn("label", F.lit(1))
+    rows = score(_detector_points(spark, sf)).join(truth, ["service", "minute_bucket"], "left")
+    return ev.evaluate_detectors(rows.withColumn("label", F.coalesce("label", F.lit(0))), ["iforest"])
