@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.operators.stats import CONSISTENCY, array_median, running_totals
+from lumenlog.session import checkpointed
 
 MIN_HISTORY = 5
 HISTORY_ROWS, EXCLUDED_ROWS, ROLLING_ROWS = 60, 6, 15
@@ -54,8 +55,15 @@ def _rates(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
     return {"precision": precision, "recall": recall, "f1": f1}
 
 
+def score_histogram(scored: DataFrame) -> DataFrame:
+    """Positives and negatives per distinct score; columns ``score`` and ``label`` in."""
+    return scored.groupBy("score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
+    )
+
+
 def confusion_at(scored: DataFrame, threshold: float) -> DataFrame:
-    """Confusion matrix and rates at a fixed threshold; columns ``score`` and ``label``."""
+    """Confusion matrix and rates at a fixed threshold."""
     hit, pos = F.col("score") >= threshold, F.col("label") == 1
     counts = scored.agg(
         F.count_if(hit & pos).alias("tp"), F.count_if(hit & ~pos).alias("fp"),
@@ -67,71 +75,67 @@ def confusion_at(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def best_f1(scored: DataFrame, steps: int = THRESHOLDS, top: float | None = None) -> DataFrame:
-    """Best F1 over evenly spaced thresholds from 0 to the highest score.
+    """Best F1 over evenly spaced thresholds from 0 to the highest score."""
+    return best_f1_of(score_histogram(scored), steps, top)
 
-    Each row adds to the highest threshold it reaches; the ``steps`` bins are then summed from
-    the top, so rows are neither compared with all thresholds nor sorted.
+
+def best_f1_of(hist: DataFrame, steps: int = THRESHOLDS, top: float | None = None) -> DataFrame:
+    """:func:`best_f1` from a score histogram.
+
+    Each score adds to the highest threshold it reaches; the ``steps`` bins are then summed
+    from the top, so scores are neither compared with all thresholds nor sorted.
     """
-    high = scored.agg(F.max("score").cast("double")).scalar() if top is None else F.lit(float(top))
-    rows = scored.withColumn("_max", high)
+    high = hist.agg(F.max("score").cast("double")).scalar() if top is None else F.lit(float(top))
+    rows = hist.withColumn("_max", high)
     width = F.col("_max") / F.lit(float(steps - 1))
-    guess = F.floor(F.col("score") / width).cast("int")
+    guess = F.least(F.floor(F.col("score") / width).cast("int"), F.lit(steps - 1))
 
     def cut(i: Column) -> Column:
         return F.when(i >= steps - 1, F.col("_max")).otherwise(i * width)
 
+    # The division may be off by one rounding step, so the neighbours are compared exactly.
     exact = (
         F.when(F.col("_max") == 0, F.lit(steps - 1))
         .when((guess + 1 <= steps - 1) & (cut(guess + 1) <= F.col("score")), guess + 1)
         .when(cut(guess) > F.col("score"), guess - 1)
-        .otherwise(F.least(guess, F.lit(steps - 1)))
+        .otherwise(guess)
     )
     bins = rows.withColumn("bin", exact).groupBy("bin").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"),
-        F.max("_max").alias("_max"),
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
     )
-    totals = bins.agg(
-        F.struct(F.sum("pos").alias("pos"), F.max("_max").alias("max"))
-    ).scalar()
-    # Thresholds without a row of their own share the counts of the next bin above.
-    grid = bins.sparkSession.range(steps).select(F.col("id").cast("int").alias("bin"))
+    totals = hist.agg(F.struct(F.sum("pos").alias("pos"), F.max("score").cast("double").alias("max"))).scalar()
+    grid = hist.sparkSession.range(steps).select(F.col("id").cast("int").alias("bin"))
     w = Window.partitionBy("_one").orderBy(F.desc("bin"))  # `steps` rows
-    full = grid.join(bins.drop("_max"), "bin", "left").withColumns({"_one": F.lit(0), "_t": totals})
-    full = full.withColumns(
-        {"tp": F.coalesce(F.sum("pos").over(w), F.lit(0)), "fp": F.coalesce(F.sum("neg").over(w), F.lit(0))}
-    )
-    step_width = F.col("_t.max") / F.lit(float(steps - 1))
-    full = full.withColumns(
-        {
-            "threshold": F.when(F.col("bin") == steps - 1, F.col("_t.max")).otherwise(F.col("bin") * step_width),
-            "fn": F.col("_t.pos") - F.col("tp"),
-        }
-    )
+    full = grid.join(bins, "bin", "left").withColumns({"_one": F.lit(0), "_t": totals})
+    limit = F.col("_t.max") if top is None else F.lit(float(top))
+    full = full.select(
+        "bin",
+        F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("fp"),
+        F.when(F.col("bin") == steps - 1, limit)
+        .otherwise(F.col("bin") * (limit / F.lit(float(steps - 1))))
+        .alias("threshold"),
+        F.col("_t.pos").alias("_pos"),
+    ).withColumn("fn", F.col("_pos") - F.col("tp"))
     full = full.withColumns(_rates(F.col("tp"), F.col("fp"), F.col("fn")))
     return full.orderBy(F.desc(F.round("f1", 4)), "bin").limit(1).select(
         "threshold", "tp", "fp", "fn", "precision", "recall", "f1"
     )
 
 
-def score_histogram(scored: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return scored.groupBy("score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg")
-    )
-
-
 def auc_ap(scored: DataFrame) -> DataFrame:
-    """ROC AUC with ties averaged, and average precision as a step sum.
+    """ROC AUC with ties averaged, and average precision as a step sum."""
+    return auc_ap_of(score_histogram(scored))
 
-    Both come from cumulative counts over the distinct scores.
-    """
-    cum = running_totals(score_histogram(scored), "score", ["pos", "neg"])
+
+def auc_ap_of(hist: DataFrame) -> DataFrame:
+    """:func:`auc_ap` from a score histogram, by cumulative counts over the distinct scores."""
+    cum = running_totals(hist, "score", ["pos", "neg"])
     above_neg = F.col("cum_neg") - F.col("neg")
     sums = cum.agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n"),
         F.sum(F.col("pos") * (above_neg + F.col("neg") / 2.0)).alias("lost"),
         F.sum(F.when(F.col("pos") > 0, F.col("pos") * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg")))).alias("ap"),
-        F.max("score").alias("top"),
     )
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), 1.0 - F.col("lost") / (F.col("p") * F.col("n")))
     return sums.select(
@@ -142,13 +146,23 @@ def auc_ap(scored: DataFrame) -> DataFrame:
 
 
 def evaluate_detectors(scored: DataFrame, detectors: list[str]) -> DataFrame:
-    """One row of metrics per detector column of ``scored`` (which also has ``label``)."""
+    """One row of metrics per detector column of ``scored`` (which also has ``label``).
+
+    A detector is reduced to its score histogram once; all metrics read that.
+    """
     out = None
     for name in detectors:
-        rows = scored.select(F.col(name).alias("score"), "label")
-        best = best_f1(rows).select(F.struct("threshold", "precision", "recall", "f1")).scalar()
-        fixed = confusion_at(rows, FIXED_THRESHOLD).select(F.struct("precision", "recall", "f1")).scalar()
-        row = auc_ap(rows).withColumns({"detector": F.lit(name), "_best": best, "_fixed": fixed}).select(
+        hist = checkpointed(score_histogram(scored.select(F.col(name).alias("score"), "label")))
+        best = best_f1_of(hist).select(F.struct("threshold", "precision", "recall", "f1")).scalar()
+        hit = F.col("score") >= FIXED_THRESHOLD
+        fixed = hist.agg(
+            F.coalesce(F.sum(F.when(hit, F.col("pos"))), F.lit(0)).alias("tp"),
+            F.coalesce(F.sum(F.when(hit, F.col("neg"))), F.lit(0)).alias("fp"),
+            F.coalesce(F.sum(F.when(~hit, F.col("pos"))), F.lit(0)).alias("fn"),
+        )
+        rates = _rates(F.col("tp"), F.col("fp"), F.col("fn"))
+        fixed = fixed.select(F.struct(*[c.alias(n) for n, c in rates.items()])).scalar()
+        row = auc_ap_of(hist).withColumns({"detector": F.lit(name), "_best": best, "_fixed": fixed}).select(
             "detector", "roc_auc", "pr_auc",
             *[F.col(f"_best.{c}").alias(f"best_{c}") for c in ("threshold", "precision", "recall", "f1")],
             *[F.col(f"_fixed.{c}").alias(f"fixed_{c}") for c in ("precision", "recall", "f1")],

@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from lumenlog.session import checkpointed
 
 TREES = 200
 SAMPLE = 256
@@ -108,6 +111,7 @@ def iforest_scores(points: DataFrame, trees: int = TREES, sample: int = SAMPLE)
                 total += tree[at, 5]
             yield pdf.assign(iforest=2.0 ** (-total / max(len(shared.value), 1) / norm))
 
-    raw = inputs.mapInPandas(score, inputs.schema.add("iforest", "double")).drop(*COLUMNS)
+    scored = inputs.mapInPandas(score, StructType([*inputs.schema.fields, StructField("iforest", DoubleType())]))
+    raw = checkpointed(scored.drop(*COLUMNS))  # read twice: for the lowest score and the result
     low = raw.agg(F.min("iforest")).scalar()
     return raw.withColumn("iforest", F.col("iforest") - low)

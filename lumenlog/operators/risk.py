@@ -67,7 +67,9 @@ def predict(model: GBTClassificationModel, features: DataFrame) -> DataFrame:
 
 def training_report(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
     """Held-out quality of a model, one row."""
-    test = predict(model, rows.where("NOT is_train")).select(F.col("risk").alias("score"), "label")
+    test = checkpointed(
+        predict(model, rows.where("NOT is_train")).select(F.col("risk").alias("score"), "label")
+    )
     # The grid runs from 0.05 to 0.95; a shifted score lets it start at zero.
     inside = test.withColumn("score", F.col("score") - GRID_LOW)
     best = best_f1(inside.where("score >= 0"), GRID_STEPS, GRID_HIGH - GRID_LOW)
