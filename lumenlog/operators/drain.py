@@ -13,8 +13,6 @@ is a join with the log of template changes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -209,9 +207,3 @@ def stream_learner(similarity: float = SIMILARITY, max_groups: int = MAX_GROUPS)
         return best, changed
 
     return place
-
-
-def ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows of one key of a micro-batch in time order."""
-    frames = list(batches)
-    return pd.concat(frames).sort_values(["us", "tie"]) if frames else pd.DataFrame()

@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from lumenlog.operators.evaluate import auc_ap, best_f1
 from lumenlog.operators.features import FEATURES, SERIES, stratified_split, time_split
@@ -180,7 +181,9 @@ def explain(spark: SparkSession, model: GBTClassificationModel, features: DataFr
                 phi, base = attributions(leaves.value, np.stack(pdf["x"].to_numpy()))
                 yield pdf.assign(phi=list(phi), base_value=base)
 
-    schema = scored.schema.add("phi", "array<double>").add("base_value", "double")
+    schema = StructType(
+        [*scored.schema.fields, StructField("phi", ArrayType(DoubleType())), StructField("base_value", DoubleType())]
+    )
     rows = scored.mapInPandas(shares, schema)
     names = F.array(*[F.lit(f) for f in FEATURES])
     parts = F.transform(

@@ -6,5 +6,6 @@ from lumenlog.plans import (  # noqa: F401
     rca_plans,
     risk_plans,
     signal_plans,
+    stream_plans,
 )
 from lumenlog.plans.registry import ORACLES, QUERIES  # noqa: F401
