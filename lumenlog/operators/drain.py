@@ -78,11 +78,12 @@ def _learner(similarity: float, max_groups: int):
         words_of = list(codes)
         return pd.DataFrame(
             {
-                "leaf": [key[0]] * len(changes),
-                "since_us": [c[0] for c in changes],
-                "since_tie": [c[1] for c in changes],
-                "ordinal": [c[2] for c in changes],
-                "template": [[words_of[i] for i in c[3]] for c in changes],
+                # Plain object columns: a group may have no changes at all.
+                "leaf": pd.Series([key[0]] * len(changes), dtype=object),
+                "since_us": pd.Series([c[0] for c in changes], dtype="int64"),
+                "since_tie": pd.Series([c[1] for c in changes], dtype=object),
+                "ordinal": pd.Series([c[2] for c in changes], dtype="int32"),
+                "template": pd.Series([[words_of[i] for i in c[3]] for c in changes], dtype=object),
             }
         )
 

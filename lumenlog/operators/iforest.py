@@ -100,6 +100,8 @@ def iforest_scores(points: DataFrame, trees: int = TREES, sample: int = SAMPLE)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if pdf.empty:
+                continue
             x = pdf[COLUMNS].to_numpy()
             total = np.zeros(len(x))
             for tree in shared.value:
