@@ -81,10 +81,12 @@ def roll_up_observations(obs: DataFrame) -> DataFrame:
     def present(c):
         return F.col(c).isNotNull() & (F.col(c) != "")
 
+    # Blank fingerprints are dropped by an aggregate's value: a filter on the key itself would be
+    # pushed below the projection and compute every fingerprint again.
     return (
-        obs.where(present("fingerprint"))
-        .groupBy("fingerprint")
+        obs.groupBy("fingerprint")
         .agg(
+            F.max("fingerprint").alias("_key"),
             F.coalesce(_first_where("service", known("service"), order), F.lit("unknown")).alias("service"),
             F.coalesce(_first_where("category", known("category"), order), F.lit("unknown")).alias("category"),
             F.coalesce(
@@ -97,6 +99,8 @@ def roll_up_observations(obs: DataFrame) -> DataFrame:
             F.max("observed_at").alias("last_seen"),
             F.sum(F.greatest("occurrence_count", F.lit(1))).alias("occurrence_count"),
         )
+        .where(F.col("_key") != "")
+        .drop("_key")
     )
 
 

@@ -39,12 +39,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def prefix_score(a: Column, b: Column) -> Column:
     """Length of the common prefix of the first 16 characters, as a share of 16."""
-    steps = F.sequence(F.lit(1), F.lit(PREFIX_LENGTH))
-    same = F.filter(
-        steps,
-        lambda i: (i <= F.length(a)) & (i <= F.length(b)) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)),
-    )
-    return F.coalesce(F.size(same) / F.lit(PREFIX_LENGTH), F.lit(0.0))
+    same = [
+        ((F.length(a) >= i) & (F.length(b) >= i) & (F.substring(a, 1, i) == F.substring(b, 1, i))).cast("int")
+        for i in range(1, PREFIX_LENGTH + 1)
+    ]
+    return F.coalesce(sum(same, F.lit(0)) / F.lit(PREFIX_LENGTH), F.lit(0.0))
 
 
 def severity_closeness(a: Column, b: Column) -> Column:
@@ -77,15 +76,23 @@ def _breakdown(a, b) -> dict[str, Column]:
 def similar_to(incidents: DataFrame, source_id: str, k: int = 5, min_score: float = 0.1) -> DataFrame:
     """The ``k`` incidents most similar to one incident, out of all incidents.
 
-    The source is one row, attached as a scalar; the table is read once without a shuffle
-    until the final top-k.
+    The source is one row and enters the plan as constants; the table is then read once without
+    a shuffle until the final top-k.
     """
     cards = incidents.withColumn("tokens", title_tokens(F.col("title")))
     fields = [*TRAITS, "fingerprint", "tokens"]
-    source = cards.where(F.col("incident_id") == source_id).agg(F.first(F.struct(*fields))).scalar()
-    rows = cards.where(F.col("incident_id") != source_id).withColumn("_src", source)
-    parts = _breakdown(lambda c: F.col(f"_src.{c}"), lambda c: F.col(c))
-    rows = rows.withColumns(parts)
+    found = cards.where(F.col("incident_id") == source_id).select(*fields).first()
+    if found is None:
+        raise ValueError(f"no incident {source_id!r}")
+
+    def constant(c):
+        if c == "tokens":
+            return F.array(*[F.lit(t) for t in found[c]]).cast("array<string>")
+        return F.lit(found[c]).cast("string")
+
+    rows = cards.where(F.col("incident_id") != source_id).withColumns(
+        _breakdown(constant, lambda c: F.col(c))
+    )
     total = sum((F.col(p) for p in WEIGHTS), F.lit(0.0))
     rows = rows.withColumn("score", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
     return (
@@ -107,47 +114,47 @@ def similar_to_recent(
     one page of incidents, so the list attached to a class is bounded by ``pool_size``.
     """
     limit = max(1, min(pool_size, 1000))
-    cards = incidents.withColumn("tokens", title_tokens(F.col("title")))
     traits = [*TRAITS, "tokens"]
+    cards = incidents.withColumn("tokens", title_tokens(F.col("title"))).withColumn(
+        "cid", F.md5(F.to_json(F.struct(*traits)))
+    )
     pool = cards.orderBy(F.desc("updated_at"), "incident_id").limit(limit)
-    member = F.struct("incident_id", "fingerprint")
-    pool_classes = pool.groupBy(*traits).agg(F.collect_list(member).alias("members"))
-    page = pool_classes.agg(F.collect_list(F.struct(*traits, "members"))).scalar()
+    members = F.collect_list(F.struct(F.col("incident_id").alias("id"), F.col("fingerprint").alias("fp")))
+    pool_classes = pool.groupBy("cid").agg(F.first(F.struct(*traits)).alias("t"), members.alias("members"))
+    page = pool_classes.agg(F.collect_list(F.struct("t", "members"))).scalar()
 
-    classes = cards.select(*traits).distinct().withColumn("_page", page)
-    flat = classes.select(*[F.col(t).alias(f"a_{t}") for t in traits], F.explode("_page").alias("b"))
+    # Grouped, exploded and grouped again by the same key: one shuffle.
+    classes = cards.groupBy("cid").agg(F.first(F.struct(*traits)).alias("a")).withColumn("_page", page)
+    flat = classes.select("cid", "a", F.explode("_page").alias("b"))
 
-    def left(c):
-        return F.lit(None).cast("string") if c == "fingerprint" else F.col(f"a_{c}")
+    def side(name):
+        return lambda c: F.lit(None).cast("string") if c == "fingerprint" else F.col(f"{name}.{c}")
 
-    def right(c):
-        return F.lit(None).cast("string") if c == "fingerprint" else F.col(f"b.{c}")
-
-    base = sum(_breakdown(left, right).values(), F.lit(0.0))
-    scored = flat.withColumn("base", base).select(
-        *[f"a_{t}" for t in traits], F.col("base"), F.explode("b.members").alias("m")
+    base = sum(_breakdown(side("a"), side("b.t")).values(), F.lit(0.0))
+    per_class = flat.select("cid", base.alias("base"), F.col("b.members").alias("members")).groupBy("cid").agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("base")).alias("minus"), "members"))).alias("list")
     )
-    a_keys = [f"a_{t}" for t in traits]
-    by_base = Window.partitionBy(*a_keys).orderBy(F.desc("base"), "m.incident_id")
-    # k+1 because the incident itself may be among them.
-    floor = F.max(F.when(F.col("_rn") == k + 1, F.col("base"))).over(Window.partitionBy(*a_keys))
     reach = WEIGHTS["fingerprint_prefix"]
-    kept = (
-        scored.withColumn("_rn", F.row_number().over(by_base))
-        .withColumn("_floor", F.coalesce(floor, F.lit(-1.0)))
-        .where((F.col("base") + reach >= F.col("_floor") - 1e-9) & (F.col("base") + reach >= min_score))
+    flatten = F.flatten(
+        F.transform("list", lambda c: F.transform(c["members"], lambda m: F.struct(-c["minus"], m["id"], m["fp"])))
+    ).cast("array<struct<base:double,id:string,fp:string>>")
+    # k+1 because the incident itself may be among them.
+    floor = F.coalesce(F.get(F.col("all"), F.lit(k))["base"], F.lit(-1.0))
+    shortlist = (
+        per_class.select("cid", flatten.alias("all"))
+        .withColumn("floor", F.greatest(floor, F.lit(float(min_score))) - reach - 1e-9)
+        .select("cid", F.filter("all", lambda m: m["base"] >= F.col("floor")).alias("short"))
     )
-    shortlist = kept.groupBy(*a_keys).agg(
-        F.collect_list(F.struct("base", F.col("m.incident_id").alias("id"), F.col("m.fingerprint").alias("fp"))).alias("short")
+    matched = cards.select("cid", "incident_id", "fingerprint").join(shortlist, "cid").select(
+        "incident_id", "fingerprint", F.explode("short").alias("s")
     )
-    same = [F.col(t).eqNullSafe(F.col(f"a_{t}")) for t in traits]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    matched = cards.join(shortlist, cond).select("incident_id", "fingerprint", F.explode("short").alias("s"))
-    score = F.col("s.base") + reach * prefix_score(F.col("fingerprint"), F.col("s.fp"))
+    score = F.least(F.col("s.base") + reach * prefix_score(F.col("fingerprint"), F.col("s.fp")), F.lit(1.0))
     pairs = matched.where(F.col("s.id") != F.col("incident_id")).select(
-        "incident_id", F.col("s.id").alias("similar_id"), F.least(score, F.lit(1.0)).alias("score")
-    ).where(F.col("score") >= min_score)
+        "incident_id", F.col("s.id").alias("similar_id"), score.alias("score")
+    )
     best = Window.partitionBy("incident_id").orderBy(F.desc(F.round("score", 9)), "similar_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return (
+        pairs.withColumn("rank", F.row_number().over(best))
+        .where((F.col("rank") <= k) & (F.col("score") >= min_score))
+        .select("incident_id", "similar_id", "score", "rank")
+    )
