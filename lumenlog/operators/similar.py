@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.functions.enrich import SEVERITIES
@@ -95,12 +95,10 @@ def similar_to(incidents: DataFrame, source_id: str, k: int = 5, min_score: floa
     )
     total = sum((F.col(p) for p in WEIGHTS), F.lit(0.0))
     rows = rows.withColumn("score", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
-    return (
-        rows.where(F.col("score") >= min_score)
-        .orderBy(F.desc(F.round("score", 9)), "incident_id")
-        .limit(k)
-        .select("incident_id", "score", *WEIGHTS)
-    )
+    # The threshold follows the top-k: before it, the filter would be pushed below the projection
+    # and score every row twice.
+    best = rows.orderBy(F.desc(F.round("score", 9)), "incident_id").limit(k)
+    return best.where(F.col("score") >= min_score).select("incident_id", "score", *WEIGHTS)
 
 
 def similar_to_recent(
@@ -138,23 +136,31 @@ def similar_to_recent(
     flatten = F.flatten(
         F.transform("list", lambda c: F.transform(c["members"], lambda m: F.struct(-c["minus"], m["id"], m["fp"])))
     ).cast("array<struct<base:double,id:string,fp:string>>")
-    # k+1 because the incident itself may be among them.
-    floor = F.coalesce(F.get(F.col("all"), F.lit(k))["base"], F.lit(-1.0))
+    # k+1 because the incident itself may be among them. Final scores only add to the base, so
+    # nothing below the base of place k+1 can make the list.
+    floor = F.greatest(F.coalesce(F.get(F.col("all"), F.lit(k))["base"], F.lit(-1.0)), F.lit(float(min_score)))
     shortlist = (
         per_class.select("cid", flatten.alias("all"))
-        .withColumn("floor", F.greatest(floor, F.lit(float(min_score))) - reach - 1e-9)
-        .select("cid", F.filter("all", lambda m: m["base"] >= F.col("floor")).alias("short"))
-    )
-    matched = cards.select("cid", "incident_id", "fingerprint").join(shortlist, "cid").select(
-        "incident_id", "fingerprint", F.explode("short").alias("s")
+        .withColumn("floor", floor - 1e-9)
+        .select("cid", "floor", F.filter("all", lambda m: m["base"] + reach >= F.col("floor")).alias("short"))
     )
-    score = F.least(F.col("s.base") + reach * prefix_score(F.col("fingerprint"), F.col("s.fp")), F.lit(1.0))
-    pairs = matched.where(F.col("s.id") != F.col("incident_id")).select(
-        "incident_id", F.col("s.id").alias("similar_id"), score.alias("score")
+    # Incidents of one class and fingerprint prefix have the same scores: rate each prefix once.
+    prefix = F.substring("fingerprint", 1, PREFIX_LENGTH).alias("fp16")
+    rated = (
+        cards.select("cid", prefix)
+        .distinct()
+        .join(shortlist, "cid")
+        .select("cid", "fp16", "floor", F.explode("short").alias("s"))
+        .withColumn("score", F.least(F.col("s.base") + reach * prefix_score(F.col("fp16"), F.col("s.fp")), F.lit(1.0)))
+        .where(F.col("score") >= F.col("floor"))
+        .groupBy("cid", "fp16")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("key"), F.col("s.id").alias("id"), "score"))).alias("best"))
+        .select("cid", "fp16", F.slice("best", 1, k + 1).alias("best"))
     )
-    best = Window.partitionBy("incident_id").orderBy(F.desc(F.round("score", 9)), "similar_id")
+    mine = cards.select("cid", prefix, "incident_id")
+    others = F.filter("best", lambda m: m["id"] != F.col("incident_id"))
     return (
-        pairs.withColumn("rank", F.row_number().over(best))
-        .where((F.col("rank") <= k) & (F.col("score") >= min_score))
-        .select("incident_id", "similar_id", "score", "rank")
+        mine.join(rated, (mine["cid"] == rated["cid"]) & mine["fp16"].eqNullSafe(rated["fp16"]))
+        .select("incident_id", F.posexplode(F.slice(others, 1, k)).alias("pos", "m"))
+        .select("incident_id", F.col("m.id").alias("similar_id"), "m.score", (F.col("pos") + 1).alias("rank"))
     )
