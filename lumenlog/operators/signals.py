@@ -138,7 +138,8 @@ def fingerprint_cards(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """Latest catalog card of every fingerprint listed in ``wanted``."""
     from lumenlog.operators.versioned import latest_by
 
-    ids = wanted.select("fingerprint").where(F.col("fingerprint") != "").distinct()
+    ids = wanted.groupBy("fingerprint").agg(F.max("fingerprint").alias("_key"))
+    ids = ids.where(F.col("_key") != "").select("fingerprint")
     return latest_by(catalog.join(ids, "fingerprint", "left_semi"), ["fingerprint"], "version")
 
 

@@ -146,7 +146,7 @@ def array_median(values: Column) -> Column:
     return (low + high) / 2.0
 
 
-def global_rank(df: DataFrame, ts: str, ties: list[str], name: str, bucket: str = "hour") -> DataFrame:
+def global_rank(df: DataFrame, ts: str, ties: list[str], name: str, bucket: str = "minute") -> DataFrame:
     """Zero-based rank over all rows in time order, computed per time bucket.
 
     Bucket counts are summed up front, so rows are only ever sorted inside their own bucket.
