@@ -139,6 +139,12 @@ TRAINING = """
 4 0 1 100 6 0 0 0 0 0
 9 0 2 100 3 100 0 0 0 0
 12 0 5 0 2 100 0 0 0 0
+3 0 1 100 9 0 0 1 0 1
+1 0 1 100 1 0 0 1 0 1
+4 0 1 100 40 0 0 1 1 1
+2 0 1 100 20 0 0 1 0 1
+2 0 1 100 5 0 0 0 0 0
+3 0 1 100 12 0 0 0 0 0
 """
 FEATURES = 9
 
