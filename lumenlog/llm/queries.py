@@ -75,7 +75,7 @@ ORACLES = {
     "op1_quality_rules": rf"""
 WITH w AS (
     SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
-        list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
     FROM documents
 ), g AS (
     SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
@@ -85,7 +85,7 @@ WITH w AS (
     FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (SELECT unnest([0, 1, 2]) AS k)
     GROUP BY doc_id
 ), m AS (
-    SELECT w.doc_id, w.lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+    SELECT w.doc_id, w.lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
         coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper
     FROM w LEFT JOIN r ON w.doc_id = r.doc_id
@@ -100,7 +100,7 @@ WITH w AS (
     FROM long, (SELECT unnest(range(25, 1000, 25)) AS cutoff) GROUP BY ALL
 ), held AS (
     SELECT *, CASE WHEN k >= n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1),
-        j -> exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) END AS p,
+        lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.005) + (n - j) * ln(0.995)))) END AS p,
         (SELECT count(DISTINCT lang) FROM tests WHERE n > 0) AS strata
     FROM tests WHERE n > 0
 ), chosen AS (
@@ -128,7 +128,7 @@ WITH d AS (
     SELECT doc_id, i, n, list_slice(ws, i, i + n - 1) AS win
     FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT len(win) AS n FROM q))
 ), hits AS (SELECT doc_id, i, n, item_id FROM p JOIN q USING (win)), covered AS (
-    SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM hits) GROUP BY doc_id
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
 ), items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
     FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
