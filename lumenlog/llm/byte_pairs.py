@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import frame, texts
-from lumenlog.llm.pieces import PieceCoder
+from lumenlog.llm.pieces import Bounded, PieceCoder
 
 #: Prefixes and token pairs that are kept, each at most.
-KEPT = 1_000_000
+KEPT = 400_000
 
 
 class Ranks:
@@ -41,8 +41,8 @@ class Ranks:
         for token in self.ids:
             ends.setdefault(token[-1], set()).add(len(token))
         self.lengths = {byte: sorted(found, reverse=True) for byte, found in ends.items()}
-        self.pairs: dict[int, bool] = {}
-        self.last: dict[bytes, int] = {b"": -1}
+        self.pairs = Bounded(None, KEPT, 0)
+        self.last = Bounded(None, KEPT, 0)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
@@ -68,9 +68,7 @@ class Ranks:
         if known is None:
             data = (self.tokens[left] if left >= 0 else b"") + self.tokens[right]
             known = self.merged(data) == ([left, right] if left >= 0 else [right])
-            if len(self.pairs) >= KEPT:
-                self.pairs.clear()
-            self.pairs[key] = known
+            self.pairs.keep(key, known)
         return known
 
     def last_token(self, data: bytes, end: int, before: list[int]) -> int:
@@ -102,16 +100,15 @@ class Ranks:
         if len(data) > 64:  # a long piece has its own table
             return self.walk(self.extend(data, [-1]))
         known = len(data)
-        while data[:known] not in kept:
+        while known and data[:known] not in kept:
             known -= 1
-        last = [kept[data[:n]] for n in range(known + 1)]
+        last = [-1]
+        for n in range(1, known + 1):  # a kept prefix may have lost a shorter one
+            found = kept.get(data[:n])
+            last.append(self.last_token(data, n, last) if found is None else found)
         self.extend(data, last)
-        if len(kept) + len(data) > KEPT:
-            kept.clear()
-            kept[b""] = -1
-            known = 0
         for n in range(known + 1, len(data) + 1):
-            kept[data[:n]] = last[n]
+            kept.keep(data[:n], last[n])
         return self.walk(last)
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -158,19 +155,25 @@ def coder(path: str, pattern: str) -> PieceCoder:
     return PieceCoder(pattern, piece)
 
 
+def _each(docs: DataFrame, path: str, pattern: str, make: Callable[[Ranks, bytes], tuple], schema: str) -> DataFrame:
+    """(doc_id, what ``make`` gives for the ids of the whole text) of every row of ``docs`` (doc_id, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, ranks = coder(path, pattern), ranks_of(path)
+        for batch in batches:
+            yield frame([(key, *make(ranks, own.encode(text))) for key, text in texts(batch)], columns)
+
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+
+
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text): the whole text's ids, little-endian unsigned 32-bit.
 
     Null texts count as empty and have no ids; a null id stays null; repeated rows give equal rows; no rows give
     no rows. Texts and pieces may be of any length. Other columns are ignored.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = coder(path, pattern)
-        for batch in batches:
-            yield frame([(key, own.encode(text)) for key, text in texts(batch)], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+    return _each(docs, path, pattern, lambda ranks, ids: (ids,), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -184,18 +187,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInPandas(run, "doc_id long, ids binary, data binary")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids); see the queries."""
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids of ``encode``, and of what they decode to.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks = ranks_of(path)
-        for batch in batches:
-            rows = []
-            for ids in batch["ids"]:
-                values = np.frombuffer(ids, "<u4")
-                decimal = ",".join(map(str, values.tolist())).encode()
-                rows.append((len(values), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(ranks.decode(values)).hexdigest()))
-            found = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            yield pd.concat([batch[["doc_id"]].astype("Int64").reset_index(drop=True), found], axis=1)
-
-    return encoded.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ``ids_sha256`` is of the decimal ids joined by commas. Ids and bytes stay in the task that makes them.
+    """
+
+    def digest(ranks: Ranks, ids: bytes) -> tuple:
+        values = np.frombuffer(ids, "<u4")
+        decimal = ",".join(map(str, values.tolist())).encode()
+        return len(values), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(ranks.decode(values)).hexdigest()
+
+    return _each(docs, path, pattern, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

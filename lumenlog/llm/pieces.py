@@ -20,21 +20,28 @@ class Irregular(Exception):
     """A part is empty or ends with white space, so it depends on its neighbour."""
 
 
-class _Bounded(dict):
-    """A cache that computes what it lacks and starts anew when it is full."""
+class Bounded(dict):
+    """A cache that computes what it lacks. When full it keeps what it has, and starts anew after many misses."""
 
-    def __init__(self, compute: Callable[[str], bytes], limit: int, longest: int):
+    def __init__(self, compute: Callable, limit: int, longest: int):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.missed = compute, limit, longest, 0
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key):
         value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[key] = value
+            self.keep(key, value)
         return value
 
+    def keep(self, key, value) -> None:
+        if len(self) < self.limit:
+            self[key] = value
+            return
+        self.missed += 1
+        if self.missed >= 16 * self.limit:
+            self.clear()
+            self.missed = 0
+
 
 class PieceCoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
@@ -43,10 +50,10 @@ class PieceCoder:
     of at most ``longest`` characters.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], limit: int = 1_000_000, longest: int = 48):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], limit: int = 250_000, longest: int = 32):
         self.findall = regex.compile(pattern).findall
-        self.pieces = _Bounded(encode_piece, limit, longest)
-        self.parts = _Bounded(self._spaced, limit, longest)
+        self.pieces = Bounded(encode_piece, limit, longest)
+        self.parts = Bounded(self._spaced, limit, longest)
 
     def _match(self, part: str) -> bytes:
         pieces = self.pieces

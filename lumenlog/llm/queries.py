@@ -49,8 +49,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(MULTI_BPE)
-    return byte_pairs.digests(byte_pairs.encode(table(spark, sf_dir, "documents"), path), path)
+    return byte_pairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI_BPE))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def coder(path: str) -> PieceCoder:
     def piece(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    return PieceCoder(public_tokenizers.PATTERN, piece)
+    return PieceCoder(public_tokenizers.PATTERN, piece, limit=500_000)
 
 
 def _block(part: int, block: int, keys: list[int | None], ids: list[np.ndarray]) -> tuple:
