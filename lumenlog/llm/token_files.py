@@ -4,6 +4,7 @@ A file is a Parquet container, so that Spark's committer makes a lost executor h
 Spark writes to will do. Its rows are blocks of whole documents in ascending doc_id order:
 
     part, block   place of the block; parts are in doc_id order
+    first         ids of the part before the block
     doc_ids       ids of the documents, null allowed
     lengths       ids of each document, the end id included
     ranks         the block's distinct ids, most frequent first, little-endian unsigned 32-bit
@@ -34,13 +35,17 @@ from lumenlog.session import run_dir
 #: Ids of a block, about: a block ends with the document that reaches this number.
 BLOCK = 1 << 20
 END = 2
-SCHEMA = "part int, block long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, control binary, data binary"
+SCHEMA = "part int, block long, first long, n_ids long, doc_ids array<long>, lengths array<long>, ranks binary, control binary, data binary"
 
 _VALUES = np.arange(256)
 #: Bytes of each of the four values of a control byte, and which of their sixteen bytes are stored.
 LENGTHS = (np.stack([_VALUES >> (2 * k) & 3 for k in range(4)], 1) + 1).astype(np.uint8)
 STORED = (np.arange(4)[None, None, :] < LENGTHS[:, :, None]).reshape(256, 16)
 
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others, in order, from character 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
@@ -78,18 +83,20 @@ def rank(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def coder(path: str) -> PieceCoder:
     """The cached coder of a tokenizer file; one for each Python worker."""
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+
+    tokenize = tokenizer.model.tokenize  # of one piece, spelt in the byte alphabet
 
     def piece(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
+        return np.array([token.id for token in tokenize(spelt)], "<u4").tobytes()
 
-    return PieceCoder(public_tokenizers.PATTERN, piece, limit=500_000)
+    return PieceCoder(public_tokenizers.PATTERN, piece, limit=800_000)
 
 
-def _block(part: int, block: int, keys: list[int | None], ids: list[np.ndarray]) -> tuple:
+def _block(part: int, block: int, first: int, keys: list[int | None], ids: list[np.ndarray]) -> tuple:
     order, places = rank(np.concatenate(ids))
     control, data = pack(places)
-    return part, block, len(places), keys, [len(x) for x in ids], order.tobytes(), control, data
+    return part, block, first, len(places), keys, [len(x) for x in ids], order.tobytes(), control, data
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
@@ -100,7 +107,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, block, size = TaskContext.get().partitionId(), 0, 0
+        part, block, first, size = TaskContext.get().partitionId(), 0, 0, 0
         encode, last = coder(tokenizer).encode, np.array([end], "<u4").tobytes()
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
@@ -110,10 +117,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
                 ids.append(np.frombuffer(encode(text) + last, "<u4"))
                 size += len(ids[-1])
                 if size >= BLOCK:
-                    yield frame([_block(part, block, keys, ids)], columns, ())
-                    keys, ids, size, block = [], [], 0, block + 1
+                    yield frame([_block(part, block, first, keys, ids)], columns, ())
+                    keys, ids, first, size, block = [], [], first + size, 0, block + 1
         if keys:
-            yield frame([_block(part, block, keys, ids)], columns, ())
+            yield frame([_block(part, block, first, keys, ids)], columns, ())
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -127,13 +134,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ``ids`` holds little-endian unsigned 32-bit integers.
     """
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    # one row a part: as many as tasks wrote
+    # one row a part: as many as there were tasks
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("total"))
     parts = parts.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
-    before = blocks.select("part", "block", "n_ids").withColumn(
-        "inside", F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")
-    )
-    starts = before.join(parts, "part").select("part", "block", (F.col("base") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -147,7 +150,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ]
                 yield frame(rows, ["doc_id", "start", "ids"])
 
-    placed = blocks.join(starts, ["part", "block"])
+    placed = blocks.join(F.broadcast(parts), "part").withColumn("start", F.col("base") + F.col("first"))
     return placed.select("doc_ids", "lengths", "ranks", "control", "data", "n_ids", "start").mapInPandas(
         run, "doc_id long, start long, ids binary"
     )
