@@ -23,7 +23,9 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def unpack(data: bytes) -> np.ndarray:
     """The values of ``pack``'s bytes."""
     raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.empty(0, np.int64)
     stops = np.flatnonzero(raw < 128)
     starts = np.concatenate(([0], stops[:-1] + 1))
     shift = 7 * (np.arange(len(raw)) - np.repeat(starts, stops - starts + 1))
-    return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts) if len(stops) else np.empty(0, np.int64)
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
