@@ -195,14 +195,32 @@ def time_split(rows: DataFrame, fraction: float = 0.7, ties: list[str] | None =
     return out.withColumnRenamed("in_head", "is_train")
 
 
-def stratified_split(rows: DataFrame, fraction: float = 0.75, seed: int = 42) -> DataFrame:
-    """``is_train`` by a hash of the row's key, with the same share in each class.
+SPLIT_BUCKETS = 4096
 
-    The hash decides each row on its own, so no class has to be gathered to be split.
+
+def stratified_split(rows: DataFrame, fraction: float = 0.75, seed: int = 42, label: str = "label") -> DataFrame:
+    """``is_train`` for the same share of each class, to one row: those with the smallest hash of their key.
+
+    Counts by class and hash bucket tell the bucket that a class's cut falls into; only its rows are ranked.
     """
-    key = F.xxhash64(F.lit(seed), *SERIES, "minute_bucket")
-    draw = F.pmod(key, F.lit(1_000_000)) / 1_000_000.0
-    return rows.withColumn("is_train", draw < fraction)
+    order = F.xxhash64(F.lit(seed), *SERIES, "minute_bucket")
+    drawn = rows.withColumns({"_draw": order, "_bucket": F.pmod(F.shiftrightunsigned(order, 8), F.lit(SPLIT_BUCKETS))})
+    # at most SPLIT_BUCKETS rows for each class
+    counts = drawn.groupBy(F.col(label).alias("_class"), "_bucket").agg(F.count("*").alias("_n"))
+    line = Window.partitionBy("_class").orderBy("_bucket")
+    upto = counts.withColumns(
+        {"_upto": F.sum("_n").over(line), "_wanted": F.floor(F.sum("_n").over(Window.partitionBy("_class")) * fraction)}
+    )
+    upto = upto.withColumn("_before", F.col("_upto") - F.col("_n"))
+    edge = upto.where("_before <= _wanted and _upto > _wanted").select(
+        "_class", F.col("_bucket").alias("_edge"), (F.col("_wanted") - F.col("_before")).alias("_take")
+    )
+    joined = drawn.join(F.broadcast(edge), F.col(label).eqNullSafe(F.col("_class")), "left")  # one row a class
+    at_edge = F.col("_bucket") == F.col("_edge")
+    # rows off the edge are spread over their own buckets, so no class is gathered to be ranked
+    place = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_draw", *SERIES, "minute_bucket"))
+    train = F.when(at_edge, place <= F.col("_take")).otherwise(F.coalesce(F.col("_bucket") < F.col("_edge"), F.lit(True)))
+    return joined.withColumn("is_train", train).drop("_draw", "_bucket", "_class", "_edge", "_take")
 
 
 def class_weight(rows: DataFrame, label: str = "label") -> Column:

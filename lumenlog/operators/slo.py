@@ -20,10 +20,13 @@ SLO_TARGET = 0.999
 
 def slo_burn(enriched: DataFrame, now: Column, windows: dict[str, int] | None = None,
              slo_target: float = SLO_TARGET) -> DataFrame:
-    """Burn per service, environment and window, all windows counted in one pass."""
+    """Burn per service, environment and window, all windows counted in one pass.
+
+    Only rows of the longest window are read; a service silent in all of them has no row.
+    """
     windows = windows or BURN_WINDOWS
     budget = max(1e-6, 1.0 - slo_target)
-    rows = with_dimensions(enriched)
+    rows = with_dimensions(enriched.where(F.col("timestamp") >= minutes_before(now, max(windows.values()))))
     counts = []
     for name, minutes in windows.items():
         recent = F.col("timestamp") >= minutes_before(now, minutes)
@@ -114,9 +117,10 @@ def order_status(status: DataFrame) -> DataFrame:
 
 def slo_status_timed(enriched: DataFrame, now: Column, slo_target: float = SLO_TARGET,
                      windows: dict[str, int] | None = None) -> DataFrame:
-    """SLO status over true time windows ending at ``now``."""
+    """SLO status over true time windows ending at ``now``; only rows of the longest window are read."""
     windows = windows or ALERT_MINUTES
-    rows = with_dimensions(enriched)
+    longest = minutes_before(now, max(windows.values()))
+    rows = with_dimensions(enriched.where((F.col("timestamp") >= longest) & (F.col("timestamp") <= now)))
     aggs = []
     for label, minutes in windows.items():
         recent = (F.col("timestamp") >= minutes_before(now, minutes)) & (F.col("timestamp") <= now)

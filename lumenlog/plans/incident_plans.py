@@ -211,8 +211,8 @@ def incident_timeline(spark, sf):
 @query(
     "incident_evidence",
     f"""WITH {EVENTS}, page AS (SELECT * FROM ievents WHERE incident_id = 'inc-7'
-          ORDER BY event_time DESC, event_id DESC LIMIT 40)
-        SELECT event_id, payload FROM page WHERE event_type = 'candidate_attached'""",
+          AND event_type = 'candidate_attached' ORDER BY event_time DESC, event_id DESC LIMIT 40)
+        SELECT event_id, payload FROM page""",
 )
 def incident_evidence(spark, sf):
     rows = inc.incident_evidence(views.incident_events(spark, sf), "inc-7", limit=40)
@@ -234,12 +234,12 @@ def incident_trace_ids(spark, sf):
 
 
 TRACE_SERVICES = f"""{q.LOGS}, {_TRACES}, tsvc AS (SELECT incident_id, service, min(timestamp) AS first_seen
-   FROM itraces JOIN logs USING (trace_id) WHERE timestamp >= TIMESTAMP '2024-01-10' GROUP BY ALL)"""
+   FROM itraces JOIN logs USING (trace_id) WHERE timestamp >= TIMESTAMP '2000-01-01' GROUP BY ALL)"""
 
 
 def trace_services(spark, sf):
     traces = inc.incident_trace_ids(views.incident_events(spark, sf))
-    return inc.trace_services(traces, views.logs(spark, sf), ref_column("2024-01-10 00:00:00"))
+    return inc.trace_services(traces, views.logs(spark, sf), ref_column("2000-01-01 00:00:00"))  # a look-back over all logs
 
 
 @query("trace_first_seen", f"WITH {TRACE_SERVICES} SELECT incident_id, service, {q.ts('first_seen')} FROM tsvc")

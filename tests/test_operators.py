@@ -308,3 +308,14 @@ def test_profile_allows_listed_columns(make):
     assert src.profile_column(df, "column_name='service'").first()[0] == "s"
     with pytest.raises(ValueError):
         src.profile_column(df, "message")
+
+
+def test_stratified_split_takes_the_same_share_of_each_class(spark):
+    from lumenlog.operators import features as ft
+
+    rows = spark.range(2000).selectExpr(
+        "concat('s', id % 7) AS service", "'prod' AS environment", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, CAST(id AS INT), 0) AS minute_bucket",
+        "CAST(id % 40 = 0 AS INT) AS label",
+    )
+    got = {(r.label, r.is_train): r["count"] for r in ft.stratified_split(rows).groupBy("label", "is_train").count().collect()}
+    assert got == {(1, True): 37, (1, False): 13, (0, True): 1462, (0, False): 488}
