@@ -141,35 +141,53 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
     return held.where("caught > k").withColumn("place", best).where("place = 1").select("stratum", "rule", "cutoff")
 
 
-def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with its measures, ``base_failed`` and ``kept``, all named with ``prefix``.
+def learned(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, c_<rule> of each rule) of the strata with cutoffs, from ``measures`` (id, stratum, measures).
 
     Labels are those of ``labels`` (doc_id, quality); of rows labelled twice the smaller counts. Documents that
-    fail the base rules are not calibrated on. A null stratum is a stratum of its own.
+    fail the base rules are not calibrated on. Labels meet measures and not texts, so that no text is shuffled.
     """
-    p = prefix
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(f"{p}id")).agg(F.min("quality").alias(f"{p}quality"))
-    some = docs.select(F.col("doc_id").cast("long").alias(f"{p}id"), F.col(text).alias(f"{p}text"), F.col(stratum).cast("string").alias(f"{p}stratum"))
-    some = measured(some.join(known, f"{p}id"), f"{p}text", p).where(~base_failed(p))
-    labelled = some.select(F.col(f"{p}stratum").alias("stratum"), (F.col(f"{p}quality") == 1).alias("good"), *[c.alias(n) for n, c in rules(p).items()])
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
+    some = measures.where(~base_failed()).select("id", "stratum", *[c.alias(n) for n, c in rules().items()]).join(known, "id")
+    labelled = some.select("stratum", (F.col("quality") == 1).alias("good"), *rules())
     chosen = stored(cutoffs(stored(labelled, "quality-labelled")).coalesce(1), "quality-cutoffs")
-    wide = chosen.groupBy(F.coalesce("stratum", F.lit("")).alias(f"{p}key"), F.col("stratum").isNull().alias(f"{p}none")).agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{p}c_{r}") for r in rules()]
+    return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in rules()])
+
+
+def decided(rows: DataFrame, chosen: DataFrame, stratum: str, prefix: str = "") -> DataFrame:
+    """Measured ``rows`` with ``base_failed`` and ``kept`` by the cutoffs of :func:`learned`. A null stratum is one of its own."""
+    p = prefix
+    wide = chosen.select(
+        F.coalesce("stratum", F.lit("")).alias(f"{p}key"), F.col("stratum").isNull().alias(f"{p}none"), *[F.col(f"c_{r}").alias(f"{p}c_{r}") for r in rules()]
     )
-    if wide.count() <= BROADCAST_ROWS:
+    if chosen.count() <= BROADCAST_ROWS:
         wide = F.broadcast(wide)
-    all_rows = measured(docs, text, p).withColumns({f"{p}key": F.coalesce(F.col(stratum).cast("string"), F.lit("")), f"{p}none": F.col(stratum).isNull()})
-    joined = all_rows.join(wide, [f"{p}key", f"{p}none"], "left")
+    keyed = rows.withColumns({f"{p}key": F.coalesce(F.col(stratum).cast("string"), F.lit("")), f"{p}none": F.col(stratum).isNull()})
+    joined = keyed.join(wide, [f"{p}key", f"{p}none"], "left")
     rejected = functools.reduce(lambda a, b: a | b, [F.coalesce(c > F.col(f"{p}c_{r}"), F.lit(False)) for r, c in rules(p).items()])
     out = joined.withColumn(f"{p}base_failed", base_failed(p)).withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~rejected)
     return out.drop(f"{p}key", f"{p}none", *[f"{p}c_{r}" for r in rules()])
 
 
+def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with all its columns, its measures, ``base_failed`` and ``kept``, the new ones named with ``prefix``.
+
+    Texts are measured twice, to learn and to decide: neither a shuffle nor a stored table holds them.
+    """
+    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
+    return decided(measured(docs, text, prefix), learned(measured(narrow), labels), stratum, prefix)
+
+
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """(doc_id, measures, base_failed, kept) of every row of ``docs`` (doc_id, text, ``stratum``).
 
     Null texts count as empty and fail the base rules, as all texts under 50 words do. Null ids and repeated rows
-    come out as they are. Without labels only the base rules reject. Other columns are ignored.
+    come out as they are. Without labels only the base rules reject. Other columns are ignored. Texts are measured
+    once and the measures stored.
     """
-    rows = judged(docs.select("doc_id", "text", stratum), labels, stratum)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    narrow = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
+    rows = stored(measured(narrow).drop("text"), "quality-measures")
+    chosen = learned(rows.withColumn("id", F.col("doc_id").cast("long")), labels)
+    return decided(rows, chosen, "stratum").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
