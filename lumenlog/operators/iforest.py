@@ -40,22 +40,16 @@ def with_inputs(points: DataFrame) -> DataFrame:
 def tree_samples(inputs: DataFrame, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
     """At most ``sample`` rows for each tree, drawn by hash.
 
-    A large table is thinned first, so only about twice the rows the forest needs are ranked.
+    At every size a row may enter any tree. Only about twice the rows the forest needs are ranked.
     """
-    n = max(inputs.count(), 1)
-    need = 2 * trees * sample
+    rate = min(1.0, 2.0 * sample / max(inputs.count(), 1))
     key = [F.lit(SEED), F.col("service"), F.col("minute_bucket")]
 
     def draw(*more):
         return F.pmod(F.xxhash64(*key, *more), F.lit(1 << 40)) / float(1 << 40)
 
-    if n > need:
-        rows = inputs.where(draw(F.lit(-1)) < need / n).withColumn(
-            "tree", F.pmod(F.xxhash64(*key, F.lit(-2)), F.lit(trees)).cast("int")
-        )
-    else:
-        rows = inputs.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        rows = rows.where(draw(F.col("tree")) < min(1.0, 2.0 * sample / n))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < rate)
+    rows = inputs.withColumn("tree", F.explode(drawn))
     order = Window.partitionBy("tree").orderBy(F.xxhash64(*key, F.col("tree"), F.lit(1)), "service", "minute_bucket")
     return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= sample).select("tree", *COLUMNS)
 

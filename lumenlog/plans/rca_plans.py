@@ -23,20 +23,13 @@ GRAPH = """first_seen AS (SELECT trace_id, service, min(timestamp) AS first_ts F
    WHERE trace_id <> '' AND service <> '' GROUP BY ALL),
 pairs AS (SELECT service AS src, lead(service) OVER (PARTITION BY trace_id ORDER BY first_ts, service) AS dst FROM first_seen),
 graph AS (SELECT src, dst, count(*) AS weight FROM pairs WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL
-          HAVING count(*) >= 3),
-strong AS (SELECT * FROM graph WHERE weight >= (SELECT avg(weight) FROM graph))"""
+          HAVING count(*) >= 3)"""
 
 
 def _graph(spark, sf):
     return gr.service_graph(gr.trace_first_seen(views.logs(spark, sf)))
 
 
-def _strong(spark, sf):
-    """Edges of at least average weight, so that cascades are more than one hop deep."""
-    edges = _graph(spark, sf)
-    return edges.where(F.col("weight") >= edges.agg(F.avg("weight")).scalar())
-
-
 @query("service_graph", f"WITH {q.LOGS}, {GRAPH} SELECT src, dst, weight FROM graph")
 def service_graph(spark, sf):
     return _graph(spark, sf)
@@ -93,9 +86,9 @@ def _daily(spark, sf):
     )
 
 
-_ROOT = """blocked AS (SELECT DISTINCT a.incident_id, a.service FROM affected a JOIN strong e ON e.dst = a.service
+_ROOT = """blocked AS (SELECT DISTINCT a.incident_id, a.service FROM affected a JOIN graph e ON e.dst = a.service
    JOIN affected c ON c.incident_id = a.incident_id AND c.service = e.src WHERE c.onset < a.onset),
-calls AS (SELECT DISTINCT a.incident_id, a.service FROM affected a JOIN strong e ON e.src = a.service
+calls AS (SELECT DISTINCT a.incident_id, a.service FROM affected a JOIN graph e ON e.src = a.service
    JOIN affected c ON c.incident_id = a.incident_id AND c.service = e.dst),
 root AS (SELECT incident_id, arg_min(service, (NOT calling, onset, service)) AS root_service FROM (
    SELECT a.*, EXISTS (SELECT 1 FROM calls k WHERE k.incident_id = a.incident_id AND k.service = a.service) AS calling
@@ -104,14 +97,14 @@ root AS (SELECT incident_id, arg_min(service, (NOT calling, onset, service)) AS
 
 @query("cascade_root", f"WITH {_DAYS}, {_ROOT} SELECT incident_id, root_service FROM root")
 def cascade_root(spark, sf):
-    return gr.cascade_root(_daily(spark, sf), _strong(spark, sf))
+    return gr.cascade_root(_daily(spark, sf), _graph(spark, sf))
 
 
 @query(
     "cascade_path",
     f"""WITH RECURSIVE {_DAYS}, {_ROOT},
         walk AS (SELECT incident_id, root_service AS node, [root_service] AS path FROM root
-          UNION ALL SELECT w.incident_id, e.dst, list_append(w.path, e.dst) FROM walk w JOIN strong e ON e.src = w.node
+          UNION ALL SELECT w.incident_id, e.dst, list_append(w.path, e.dst) FROM walk w JOIN graph e ON e.src = w.node
             JOIN affected a ON a.incident_id = w.incident_id AND a.service = e.dst
           WHERE NOT list_contains(w.path, e.dst) AND len(w.path) < 8),
         short AS (SELECT incident_id, node, path, len(path) AS depth, min(len(path)) OVER (PARTITION BY incident_id, node)
@@ -122,7 +115,7 @@ def cascade_root(spark, sf):
         GROUP BY incident_id""",
 )
 def cascade_path(spark, sf):
-    affected, edges = _daily(spark, sf), _strong(spark, sf)
+    affected, edges = _daily(spark, sf), _graph(spark, sf)
     paths = gr.cascade_path(gr.cascade_root(affected, edges), affected, edges)
     return paths.select("incident_id", F.array_join("cascade_path", ">").alias("cascade_path"))
 
@@ -226,7 +219,7 @@ def _report(spark, sf):
     logs = views.logs(spark, sf)
     enriched = en.enrich(logs)
     return rca.rca_report(
-        _active(spark, sf), enriched, _day_anomalies(spark, sf), _strong(spark, sf),
+        _active(spark, sf), enriched, _day_anomalies(spark, sf), _graph(spark, sf),
         slo.slo_status_timed(enriched, now(logs)), now(logs),
     )
 

@@ -90,8 +90,8 @@ def test_postmortem(make):
     got = {r["incident_id"]: r["markdown"] for r in pm.postmortems(cards, events, similar).collect()}
     one, two = got["i1"], got["i2"]
     for text in (
-        "# Postmortem: db down\n\n**Incident ID:** `i1`  \n", "**lookup** (RCA score 0.50).", "Затронуто сервисов: **3**.",
-        "SLO burn rate за 1 час: **2.0×**.", "- Открыт: **2024-01-01 10:00 UTC**", "Impact score: 1.250",
+        "# Postmortem: db down\n\n**Incident ID:** `i1`  \n", "**lookup** (RCA score 0.50).", "Сервисов в инциденте: **3**.",
+        "Burn rate за час: **2.0×**.", "- Начало: **2024-01-01 10:00 UTC**", "Impact score: 1.250",
         "  - `anomaly` × 0.35: **0.250**\n  - `fanout` × 0.2: **1.000**",
         "- candidate_id=`c1`, anomaly_score=4.50, trace_ids: `t1`, `t2`",
         "- **2024-01-01 10:00 UTC** · _Инцидент открыт_ · actor: `ops`\n- **2024-01-01 10:01 UTC**",
@@ -99,7 +99,7 @@ def test_postmortem(make):
         "| 1 | `web` | `network` | `info` | 0.42 | — |",
     ):
         assert text in one, text
-    for text in ("**не определён**.", pm.NO_EVIDENCE, pm.NO_EVENTS, pm.NO_SIMILAR, "- Открыт: **—**"):
+    for text in ("**неизвестно**.", pm.NO_EVIDENCE, pm.NO_EVENTS, pm.NO_SIMILAR, "- Начало: **—**"):
         assert text in two, text
     assert [h for h in one.split("\n") if h.startswith("## ")][-1] == "## 8. Lessons learned"
 
