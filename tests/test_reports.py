@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlog.operators import postmortem as pm
 from lumenlog.operators import rca
+from lumenlog.operators.iforest import tree_samples
 from lumenlog.operators.risk import attributions, leaf_paths
 from lumenlog.sources import tables
 
@@ -104,6 +105,28 @@ def test_postmortem(make):
     assert [h for h in one.split("\n") if h.startswith("## ")][-1] == "## 8. Lessons learned"
 
 
+def test_evidence_behind_many_newer_events(make):
+    rows = [("a0", "i", "candidate_attached", "2024-01-01 00:00:00", "ops", '{"candidate_id": "c0"}')]
+    rows += [(f"e{n:03d}", "i", "status_changed", f"2024-01-02 {n // 60:02d}:{n % 60:02d}:00", "ops", "{}") for n in range(300)]
+    events = make(rows, "event_id string, incident_id string, event_type string, event_time timestamp, actor string, payload string")
+    got = pm.timelines(events).first()
+    assert got["evidence_lines"] == ["- candidate_id=`c0`"]
+    assert len(got["timeline"]) == pm.TIMELINE_EVENTS and got["timeline"][0].startswith("- **2024-01-02 01:40")
+
+
+def test_forest_samples_follow_one_rule(spark):
+    def points(n):
+        return spark.range(n).selectExpr(
+            "concat('s', id % 3) AS service", "timestamp_seconds(id * 60) AS minute_bucket", "double(id) AS x0", "0D AS x1", "0D AS x2"
+        )
+
+    few = tree_samples(points(50), trees=4, sample=64)
+    assert [r["count"] for r in few.groupBy("tree").count().collect()] == [50] * 4
+    many = tree_samples(points(5000), trees=4, sample=64)  # more than the trees need
+    assert sorted(r["count"] for r in many.groupBy("tree").count().collect()) == [64] * 4
+    assert many.groupBy("x0").count().where("count > 1").count() > 0  # a row may enter several trees
+
+
 def test_delete_rewrites_only_touched_days(spark, make, tmp_path):
     root = str(tmp_path)
     rows = make([("a", 1, "2024-01-01 10:00:00"), ("b", 1, "2024-01-01 11:00:00"), ("a", 2, "2024-01-02 10:00:00"), ("c", 1, "2024-01-03 10:00:00")],
