@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.enrich import SEVERITIES
+from lumenlog.session import checkpointed
 
 # Weights, token pattern and stop words.
 WEIGHTS = {
@@ -21,6 +22,9 @@ PREFIX_LENGTH = 16
 TOKEN_PATTERN = "[a-zA-Zа-яА-Я0-9_-]+"
 STOP_WORDS = ["anomaly", "incident", "error", "alert", "warning"]
 
+#: Classes in one block, on average.
+BLOCK = 256
+
 TRAITS = ["service", "category", "severity", "environment"]
 
 
@@ -101,63 +105,89 @@ def similar_to(incidents: DataFrame, source_id: str, k: int = 5, min_score: floa
     return best.where(F.col("score") >= min_score).select("incident_id", "score", *WEIGHTS)
 
 
-def similar_to_recent(
-    incidents: DataFrame, pool_size: int = 500, k: int = 5, min_score: float = 0.1
-) -> DataFrame:
-    """For every incident the ``k`` most similar of the newest ``pool_size`` incidents.
+def _smallest_ids(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The rows of the ``k`` smallest incident ids of each key; Spark limits groups before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("incident_id"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
 
-    Incidents with equal traits and title words form a class. Classes are compared with the pool's
-    classes without the fingerprint, which can add at most its weight; only pool incidents that
-    can still reach the class's top k+1 are kept for the comparison by fingerprint. The pool is
-    one page of incidents, so the list attached to a class is bounded by ``pool_size``.
+def _near_classes(classes: DataFrame, pool: DataFrame, k: int, min_score: float) -> DataFrame:
+    """(cid, other, base, floor): for each class the pool classes that can hold one of its top ``k`` incidents.
+
+    ``pool`` (cid, t, n) is dealt into blocks of about ``BLOCK`` classes, each an array. A class meets a block in
+    one row, which keeps only what can still reach the ``k``-th best base of that block plus the fingerprint's
+    weight; the best such floor over all blocks then cuts again.
     """
-    limit = max(1, min(pool_size, 1000))
-    traits = [*TRAITS, "tokens"]
-    cards = incidents.withColumn("tokens", title_tokens(F.col("title"))).withColumn(
-        "cid", F.md5(F.to_json(F.struct(*traits)))
-    )
-    pool = cards.orderBy(F.desc("updated_at"), "incident_id").limit(limit)
-    members = F.collect_list(F.struct(F.col("incident_id").alias("id"), F.col("fingerprint").alias("fp")))
-    pool_classes = pool.groupBy("cid").agg(F.first(F.struct(*traits)).alias("t"), members.alias("members"))
-    page = pool_classes.agg(F.collect_list(F.struct("t", "members"))).scalar()
+    blocks = -(-max(pool.count(), 1) // BLOCK)
+    lists = pool.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("cid", "t", "n")).alias("list"))
+    met = classes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "block")
 
-    # Grouped, exploded and grouped again by the same key: one shuffle.
-    classes = cards.groupBy("cid").agg(F.first(F.struct(*traits)).alias("a")).withColumn("_page", page)
-    flat = classes.select("cid", "a", F.explode("_page").alias("b"))
+    def mine(c: str) -> Column:
+        return F.lit(None).cast("string") if c == "fingerprint" else F.col(f"a.{c}")
 
-    def side(name):
-        return lambda c: F.lit(None).cast("string") if c == "fingerprint" else F.col(f"{name}.{c}")
+    def rated(b: Column) -> Column:
+        other = lambda c: F.lit(None).cast("string") if c == "fingerprint" else b["t"][c]
+        base = sum(_breakdown(mine, other).values(), F.lit(0.0))
+        return F.struct((-base).alias("minus"), b["cid"].alias("other"), b["n"].alias("n"))
 
-    base = sum(_breakdown(side("a"), side("b.t")).values(), F.lit(0.0))
-    per_class = flat.select("cid", base.alias("base"), F.col("b.members").alias("members")).groupBy("cid").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("base")).alias("minus"), "members"))).alias("list")
-    )
+    def count_up(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        here = F.struct(seen.alias("seen"), F.when(seen >= k, -x["minus"]).otherwise(F.lit(-1.0)).alias("floor"))
+        return F.when(acc["seen"] >= k, acc).otherwise(here)
+
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1.0).alias("floor"))
+    kth = F.aggregate(F.slice("list", 1, k), start, count_up, lambda acc: acc["floor"])
     reach = WEIGHTS["fingerprint_prefix"]
-    flatten = F.flatten(
-        F.transform("list", lambda c: F.transform(c["members"], lambda m: F.struct(-c["minus"], m["id"], m["fp"])))
-    ).cast("array<struct<base:double,id:string,fp:string>>")
-    # k+1 because the incident itself may be among them. Final scores only add to the base, so
-    # nothing below the base of place k+1 can make the list.
-    floor = F.greatest(F.coalesce(F.get(F.col("all"), F.lit(k))["base"], F.lit(-1.0)), F.lit(float(min_score)))
-    shortlist = (
-        per_class.select("cid", flatten.alias("all"))
-        .withColumn("floor", floor - 1e-9)
-        .select("cid", "floor", F.filter("all", lambda m: m["base"] + reach >= F.col("floor")).alias("short"))
+    short = F.filter("list", lambda x: F.lit(reach) - x["minus"] >= F.col("floor"))
+    local = checkpointed(
+        met.select("cid", F.array_sort(F.transform("list", rated)).alias("list"))
+        .withColumn("floor", F.greatest(kth, F.lit(float(min_score))) - 1e-9)
+        .select("cid", "floor", short.alias("short"))
     )
-    # Incidents of one class and fingerprint prefix have the same scores: rate each prefix once.
+    floors = local.groupBy("cid").agg(F.max("floor").alias("floor"))
+    rows = local.select("cid", F.inline("short")).join(floors, "cid").withColumn("base", -F.col("minus"))
+    return rows.where(F.col("base") + reach >= F.col("floor")).select("cid", "other", "base", "floor")
+
+
+def similar_to_recent(
+    incidents: DataFrame, pool_size: int | None = None, k: int = 5, min_score: float = 0.1
+) -> DataFrame:
+    """For every incident the ``k`` most similar ones of all incidents, or of the newest ``pool_size`` if given.
+
+    Incidents with equal traits and title words form a class, and classes are compared, block by block, without
+    the fingerprint, which can add at most its weight. Of each class and fingerprint prefix of 0 to 16 characters
+    the smallest k+1 ids are indexed; an incident that shares exactly n characters and belongs to the top is among
+    those indexed under its n characters, so lookups by prefix find the whole top without meeting other members.
+    Work grows with the square of distinct classes, not of incidents.
+    """
+    traits = [*TRAITS, "tokens"]
     prefix = F.substring("fingerprint", 1, PREFIX_LENGTH).alias("fp16")
-    rated = (
-        cards.select("cid", prefix)
-        .distinct()
-        .join(shortlist, "cid")
-        .select("cid", "fp16", "floor", F.explode("short").alias("s"))
-        .withColumn("score", F.least(F.col("s.base") + reach * prefix_score(F.col("fp16"), F.col("s.fp")), F.lit(1.0)))
-        .where(F.col("score") >= F.col("floor"))
-        .groupBy("cid", "fp16")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("key"), F.col("s.id").alias("id"), "score"))).alias("best"))
-        .select("cid", "fp16", F.slice("best", 1, k + 1).alias("best"))
+    tokened = incidents.withColumn("tokens", title_tokens(F.col("title")))
+    cards = checkpointed(
+        tokened.select("incident_id", "updated_at", *traits, prefix, F.md5(F.to_json(F.struct(*traits))).alias("cid"))
     )
-    mine = cards.select("cid", prefix, "incident_id")
+    pool = cards if pool_size is None else cards.orderBy(F.desc("updated_at"), "incident_id").limit(max(1, pool_size))
+    most = k + 1  # the incident itself may be among them
+    classes = cards.groupBy("cid").agg(F.first(F.struct(*traits)).alias("a"))
+    near = _near_classes(classes, pool.groupBy("cid").agg(F.first(F.struct(*traits)).alias("t"), F.count("*").alias("n")), most, min_score)
+
+    levels = F.explode(F.sequence(F.lit(0), F.coalesce(F.length("fp16"), F.lit(0)))).alias("shared")
+    start = F.when(F.col("shared") > 0, F.expr("substring(fp16, 1, shared)")).otherwise("").alias("start")
+    members = _smallest_ids(pool.select("cid", "fp16", "incident_id"), ["cid", "fp16"], most).select("*", levels)
+    index = _smallest_ids(members.select(F.col("cid").alias("other"), start, "incident_id"), ["other", "start"], most)
+    index = index.groupBy("other", "start").agg(F.collect_list("incident_id").alias("ids"))
+
+    # Incidents of one class and prefix have the same scores: rate each prefix once.
+    score = F.least(F.col("base") + WEIGHTS["fingerprint_prefix"] * (F.col("shared") / F.lit(PREFIX_LENGTH)), F.lit(1.0))
+    asked = cards.select("cid", "fp16").distinct().join(near, "cid").select("*", levels).withColumn("score", score)
+    asked = asked.where(F.col("score") >= F.col("floor")).select("cid", "fp16", "other", start, "score")
+    found = asked.join(index, ["other", "start"]).select("cid", "fp16", F.explode("ids").alias("id"), "score")
+    found = found.groupBy("cid", "fp16", "id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("cid", "fp16").orderBy(F.desc("key"), "id")
+    top = found.withColumn("key", F.round("score", 9)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    rated = top.groupBy("cid", "fp16").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score"))).alias("best"))
+
+    mine = cards.select("cid", "fp16", "incident_id")
     others = F.filter("best", lambda m: m["id"] != F.col("incident_id"))
     return (
         mine.join(rated, (mine["cid"] == rated["cid"]) & mine["fp16"].eqNullSafe(rated["fp16"]))

@@ -502,11 +502,24 @@ def similar_incidents(spark, sf):
 
 @query(
     "similar_to_recent",
-    f"""WITH {_TOKENED}, pool AS (SELECT * FROM c ORDER BY updated_at DESC, incident_id LIMIT 500),
-        s AS (SELECT a.incident_id, b.incident_id AS similar_id, {_score_sql('a', 'b')} AS score
-              FROM c a, pool b WHERE a.incident_id <> b.incident_id),
+    # classes of incidents with equal scores: the best six of all classes hold the best six incidents
+    f"""WITH {_TOKENED}, k AS (
+          SELECT min(incident_id) AS kid, service, category, severity, environment, tokens, substr(fingerprint, 1, 16) AS fingerprint,
+            list_sort(list(incident_id))[1:6] AS ids FROM c GROUP BY ALL),
+        t AS (SELECT row_number() OVER () AS tid, * FROM (SELECT DISTINCT service, category, severity, environment, tokens, '' AS fingerprint FROM k)),
+        base AS MATERIALIZED (SELECT a.tid, b.tid AS other, {_score_sql('a', 'b')} AS base FROM t a, t b),
+        f AS (SELECT DISTINCT fingerprint FROM k),
+        pre AS MATERIALIZED (SELECT a.fingerprint AS fa, b.fingerprint AS fb, {_PREFIX.format(a='a.fingerprint', b='b.fingerprint')} AS pre FROM f a, f b),
+        kt AS (SELECT kid, ids, k.fingerprint, tid FROM k JOIN t USING (service, category, severity, environment, tokens)),
+        best AS (SELECT a.kid, min({{'minus': -round(base + 0.15 * pre, 9), 'kid': b.kid, 'score': base + 0.15 * pre}}, 6) AS best
+                 FROM kt a JOIN base USING (tid) JOIN kt b ON b.tid = base.other JOIN pre ON fa = a.fingerprint AND fb = b.fingerprint
+                 WHERE base + 0.15 * pre >= 0.1 GROUP BY a.kid),
+        few AS (SELECT best.kid, unnest(o.ids) AS similar_id, x.score FROM (SELECT kid, unnest(best) AS x FROM best) best JOIN k o ON o.kid = x.kid),
+        s AS (SELECT unnest(m.members) AS incident_id, similar_id, score FROM few
+              JOIN (SELECT min(incident_id) AS kid, list(incident_id) AS members FROM c
+                    GROUP BY service, category, severity, environment, tokens, substr(fingerprint, 1, 16)) m USING (kid)),
         r AS (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY round(score, 9) DESC, similar_id) AS rank
-              FROM s WHERE score >= 0.1)
+              FROM s WHERE incident_id <> similar_id)
         SELECT incident_id, similar_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
 )
 def similar_to_recent(spark, sf):

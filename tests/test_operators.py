@@ -169,17 +169,19 @@ def test_similar(make):
     assert got[0] == ("b", 1.0) and got[1][0] == "c" and got[1][1] < 0.3
 
 
-def test_similar_to_recent_matches_brute_force(make):
+@pytest.mark.parametrize("pool_size", [12, None])
+def test_similar_to_recent_matches_brute_force(make, monkeypatch, pool_size):
+    monkeypatch.setattr(sim, "BLOCK", 4)
     rows = [
         (f"i{n:02d}", f"s{n % 3}", f"c{n % 2}", ["debug", "info", "error"][n % 3], "prod" if n % 4 else "qa",
-         f"{n * 7919 % 256:02x}{n:038d}", f"{'disk' if n % 2 else 'queue'} case {n % 5} down", minute(n))
+         f"{n * 7919 % 256:02x}{n % 4:016d}" if n % 9 else None, f"{'disk' if n % 2 else 'queue'} case {n % 5} down", minute(n))
         for n in range(40)
     ]
     df = make(rows, INCIDENT)
     got = {}
-    for r in sim.similar_to_recent(df, pool_size=12, k=3).collect():
+    for r in sim.similar_to_recent(df, pool_size=pool_size, k=3).collect():
         got.setdefault(r["incident_id"], []).append((r["rank"], r["similar_id"], round(r["score"], 6)))
-    pool = df.orderBy(F.desc("updated_at")).limit(12)
+    pool = df.orderBy(F.desc("updated_at")).limit(pool_size or 40)
     for n in (0, 17, 35, 39):
         source = f"i{n:02d}"
         both = pool.unionByName(df.where(F.col("incident_id") == source)).dropDuplicates(["incident_id"])
