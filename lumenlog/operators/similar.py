@@ -24,6 +24,8 @@ STOP_WORDS = ["anomaly", "incident", "error", "alert", "warning"]
 
 #: Classes in one block, on average.
 BLOCK = 256
+#: Tasks that blocks and slices are dealt to at most.
+MAX_TASKS = 4096
 
 TRAITS = ["service", "category", "severity", "environment"]
 
@@ -118,9 +120,14 @@ def _near_classes(classes: DataFrame, pool: DataFrame, k: int, min_score: float)
     one row, which keeps only what can still reach the ``k``-th best base of that block plus the fingerprint's
     weight; the best such floor over all blocks then cuts again.
     """
-    blocks = -(-max(pool.count(), 1) // BLOCK)
+    blocks, slices = (-(-max(side.count(), 1) // BLOCK) for side in (pool, classes))
     lists = pool.groupBy(F.pmod(F.xxhash64("cid"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("cid", "t", "n")).alias("list"))
-    met = classes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(lists, "block")
+    # a block and a slice of classes meet in one key: the rows are small and their work is not, so tasks are dealt by number
+    tasks = min(blocks * slices, MAX_TASKS)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    lists = lists.withColumn("slice", all_of(slices)).repartition(tasks, "block", "slice")
+    met = classes.withColumn("slice", F.pmod(F.xxhash64("cid"), F.lit(slices))).withColumn("block", all_of(blocks))
+    met = met.repartition(tasks, "block", "slice").join(lists, ["block", "slice"])
 
     def mine(c: str) -> Column:
         return F.lit(None).cast("string") if c == "fingerprint" else F.col(f"a.{c}")
