@@ -183,7 +183,7 @@ def category_summary(spark, sf):
     return src.category_summary(en.enrich(views.logs(spark, sf)))
 
 
-@query("profile_column", f"WITH {q.LOGS} SELECT DISTINCT CAST(status_code AS VARCHAR) AS value FROM logs LIMIT 100")
+@query("profile_column", f"WITH {q.LOGS} SELECT DISTINCT CAST(status_code AS VARCHAR) AS value FROM logs")
 def profile_column(spark, sf):
     return src.profile_column(views.logs(spark, sf), "column_name='status_code'")
 

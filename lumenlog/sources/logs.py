@@ -80,21 +80,23 @@ def list_logs(
     return rows if compat_limit_first else rows.orderBy(*order).limit(limit)
 
 
-def trace_logs(logs: DataFrame, trace_id: str, limit: int = 100) -> DataFrame:
-    """Rows of one trace, oldest first."""
+def trace_logs(logs: DataFrame, trace_id: str, limit: int | None = None) -> DataFrame:
+    """Rows of one trace, oldest first; the first ``limit`` if given."""
     cols = ["timestamp", "service", "level", "status_code", "message"]
-    return logs.where(F.col("trace_id") == trace_id).select(*cols).orderBy("timestamp").limit(limit)
+    rows = logs.where(F.col("trace_id") == trace_id).select(*cols).orderBy("timestamp")
+    return rows if limit is None else rows.limit(limit)
 
 
 PROFILE_COLUMNS = ["product", "service", "environment", "level", "method", "status_code"]
 
 
-def profile_column(logs: DataFrame, column: str, limit: int = 100) -> DataFrame:
-    """Distinct values of one allowed column."""
+def profile_column(logs: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Distinct values of one allowed column; the first ``limit`` in order if given."""
     name = column.split("=", 1)[1].strip(" '\"") if "=" in column else column.strip()
     if name not in PROFILE_COLUMNS:
         raise ValueError(f"column {name!r} may not be profiled; choose one of {PROFILE_COLUMNS}")
-    return logs.select(F.col(name).cast("string").alias("value")).distinct().limit(limit)
+    values = logs.select(F.col(name).cast("string").alias("value")).distinct()
+    return values if limit is None else values.orderBy("value").limit(limit)
 
 
 def dimension_tree(logs: DataFrame) -> DataFrame:
