@@ -27,6 +27,12 @@ def id_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def row_key() -> Column:
+    """SHA-256 of doc_id and text: what tells rows apart where ids are null or repeated. Null texts count as empty."""
+    key = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return F.unhex(F.sha2(key, 256))
+
+
 def texts(batch: pd.DataFrame) -> Iterator[tuple[object, str]]:
     """(doc_id or None, text or '') of the rows of a batch whose first two columns are id and text."""
     ids = batch.iloc[:, 0]

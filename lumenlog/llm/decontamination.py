@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import frame, stored, texts
@@ -27,8 +27,8 @@ SEGMENT = 4_000_000
 #: Benchmark words that are looked up at once; a larger benchmark is looked up in blocks of items.
 BLOCK_WORDS = 1_000_000
 WINDOW = 10
-INDEX = "segment long, term binary, n long, postings binary, doc_ids array<long>, starts binary"
-FOUND = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>, n_near long"
+INDEX = "segment long, term binary, n long, postings binary, doc_ids array<long>, starts binary, keys array<binary>"
+FOUND = "segment long, place long, doc_id long, n_words long, spans array<struct<start:long,stop:long>>, items array<string>, n_near long, key binary"
 
 #: Upper-case letters become lower-case ones; other ASCII characters that aren't letters or digits become spaces.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -39,24 +39,26 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def build_index(docs: DataFrame, segment_words: int = SEGMENT, name: str = "positions") -> DataFrame:
+def build_index(docs: DataFrame, segment_words: int = SEGMENT, name: str = "positions", key: Column | None = None) -> DataFrame:
     """The stored index of every row of ``docs`` (doc_id, text).
 
     A term's row has ``term``, its number of positions ``n`` and ``postings``. Each segment has one row without
-    a term: its documents in order, and their starts on the line, 64-bit, one more than there are documents.
+    a term: its documents in order, and their starts on the line, 64-bit, one more than there are documents,
+    and the binary ``key`` of each row, null without one.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segment = TaskContext.get().partitionId() << 24
         codes: dict[bytes, int] = {}
         keys: list[int | None] = []
+        marks: list[bytes | None] = []
         parts: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pd.DataFrame]:
             lengths = np.array([len(p) for p in parts], np.int64)
             starts = np.concatenate(([0], np.cumsum(lengths + 1)))
-            yield frame([(segment, None, -1, None, keys, starts.astype("<i8").tobytes())], columns, ())
+            yield frame([(segment, None, -1, None, keys, starts.astype("<i8").tobytes(), marks)], columns, ())
             if not codes:
                 return
             stream = np.concatenate(parts)
@@ -72,24 +74,26 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT, name: str = "posi
             terms, counts = list(codes), counts.tolist()
             for top in range(0, len(terms), 50_000):
                 cut = range(top, min(top + 50_000, len(terms)))
-                rows = [(segment, terms[i], counts[i], blob[stops[i - 1] if i else 0 : stops[i]], None, None) for i in cut]
+                rows = [(segment, terms[i], counts[i], blob[stops[i - 1] if i else 0 : stops[i]], None, None, None) for i in cut]
                 yield frame(rows, columns, ())
 
         for batch in batches:
-            for key, text in texts(batch):
+            for (doc_id, text), mark in zip(texts(batch), batch["key"]):
                 found = words(text)
                 parts.append(np.array([codes.setdefault(w, len(codes)) for w in found], np.int32))
-                keys.append(key)
+                keys.append(doc_id)
+                marks.append(mark)
                 size += len(found) + 1
                 if size >= segment_words:
                     yield from flush()
                     segment, size = segment + 1, 0
-                    codes, keys, parts = {}, [], []
+                    codes, keys, marks, parts = {}, [], [], []
         if keys:
             yield from flush()
 
     columns = [c.split()[0] for c in INDEX.split(", ")]
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, INDEX), name)
+    mark = (F.lit(None) if key is None else key).cast("binary").alias("key")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text", mark).mapInPandas(run, INDEX), name)
 
 
 class Windows:
@@ -202,10 +206,10 @@ def find(index: DataFrame, items: list[tuple[str, str | None]], window: int = WI
         lengths = np.diff(line) - 1
         keys = [None if k is None or k != k else int(k) for k in directory["doc_ids"]]
         out = [
-            (key[0], i, k, int(lengths[i]), [{"start": a, "stop": b} for a, b in spans.get(i, [])], items.get(i, []), int(close[i]))
-            for i, k in enumerate(keys)
+            (key[0], i, k, int(lengths[i]), [{"start": a, "stop": b} for a, b in spans.get(i, [])], items.get(i, []), int(close[i]), mark)
+            for i, (k, mark) in enumerate(zip(keys, directory["keys"]))
         ]
-        return frame(out, ["segment", "place", "doc_id", "n_words", "spans", "items", "n_near"])
+        return frame(out, ["segment", "place", "doc_id", "n_words", "spans", "items", "n_near", "key"])
 
     return rows.groupBy("segment").applyInPandas(run, FOUND)
 
@@ -224,7 +228,7 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, key: Column | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, n_near, contaminated) of every row of ``docs`` (doc_id, text).
 
     ``items`` are the sorted ids of the items of ``benchmark`` (item_id, text) with a window of ``window`` words
@@ -233,14 +237,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     words of their places without the exact phrase.
     Null texts have no words; null ids come out null; repeated rows come out one by one; a null item id is
     empty text; equal ids are one item. Without items nothing is hit. Other columns are ignored.
+    A binary ``key`` of the row comes out as a last column.
     """
-    index = build_index(docs)
+    index = build_index(docs, key=key)
     found = None
     for block in _blocks(benchmark, block_words):
         part = find(index, block, window)
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("segment", "place").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("key").alias("key"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.sum("n_near").alias("n_near"),
     )
@@ -254,5 +259,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         lambda acc: acc["n"],
     )
     return merged.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "n_near"
-    ).withColumn("contaminated", F.col("n_hit") > 0)
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "n_near",
+        (hit > 0).alias("contaminated"), *([] if key is None else ["key"]),
+    )

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import frame, stored, texts
@@ -58,17 +58,23 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return sum(1 << int(b) for b in set_bits)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit value of each row's fingerprint. Null texts count as empty."""
+def fingerprints(docs: DataFrame, words: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the signed 64-bit value of each row's fingerprint. Null texts count as empty.
+
+    A binary ``key`` of the row comes out as a third column.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(key, fingerprint(text, words)) for key, text in texts(batch)]
             out = frame([(key, 0) for key, _ in rows], ["doc_id", "fp"])
             out["fp"] = np.array([fp for _, fp in rows], np.uint64).view(np.int64)
+            for name in batch.columns[2:]:
+                out[name] = batch[name].to_numpy()
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    keys = [] if key is None else [key.alias("key")]
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInPandas(run, "doc_id long, fp long" + ", key binary" * len(keys))
 
 
 def _part_counts(fps: np.ndarray, bits: int) -> np.ndarray:
@@ -200,6 +206,12 @@ def _pairs(links: DataFrame) -> DataFrame:
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
+def rooted(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """``nodes``, one row a fingerprint ``fp``, with the ``root`` of the group of each."""
+    roots = components(links(nodes.select("fp"), radius), "simhash-links").withColumnsRenamed({"node": "fp"})
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -209,9 +221,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
     """
     marked = stored(fingerprints(docs, words), "simhash-fps")
     nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius), "simhash-links").withColumnsRenamed({"node": "fp"})
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(groups, "root").select("fp", "component_id"), "simhash-groups")
+    placed = rooted(nodes, radius)
+    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(placed.join(groups, "root").select("fp", "component_id"), "simhash-groups")
     text = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")

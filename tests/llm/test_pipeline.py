@@ -46,3 +46,17 @@ def test_run_is_the_stages_in_order(spark):
         docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), docs.schema)
     path = byte_pairs.public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     assert set(corpus_pipeline.run(spark, DIR).collect()) == set(byte_pairs.round_trip(docs, path).collect())
+
+
+def test_rows_without_id_and_with_a_repeated_one_are_decided_alone(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    leak = next(r.text for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect() if len((r.text or "").split()) > 12)
+    own = [" ".join(f"{name}{k}" for k in range(60)) for name in ("alpha", "beta", "gamma", "delta", "omega")]
+    rows = [(None, own[0]), (None, own[0]), (None, own[1]), (None, own[2]), (5, own[3]), (3, own[4]), (5, own[4]), (5, own[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in stage["near-duplicates"](spark, docs, DIR).collect()]
+    assert sorted(kept, key=str) == sorted([(None, own[0]), (None, own[1]), (5, own[2]), (5, own[3]), (3, own[4])], key=str)
+    rows = [(None, own[0]), (None, leak), (7, own[1]), (7, leak), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = [tuple(r) for r in stage["decontamination"](spark, docs, DIR).collect()]
+    assert sorted(clean, key=str) == sorted([(None, own[0]), (7, own[1]), (None, None)], key=str)
