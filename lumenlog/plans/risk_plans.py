@@ -94,8 +94,8 @@ def trend_features(spark, sf):
 
 
 def _burn_rows(spark, sf):
-    """A burn row of each size for every sixth hour of a series."""
-    rows = ft.severity_minutes(_signals(spark, sf)).where(F.hour("minute_bucket") % 6 == 0)
+    """A burn row of each size for every hour of a series."""
+    rows = ft.severity_minutes(_signals(spark, sf))
     sizes = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.lit(m).alias("mins")) for n, m in ft.BURN_MINUTES.items()]))
     return rows.withColumn("s", sizes).select(
         "service", "environment", F.col("s.size").alias("window_size"),

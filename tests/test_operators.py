@@ -12,6 +12,7 @@ from lumenlog.operators import incidents as inc
 from lumenlog.operators import signals as sg
 from lumenlog.operators import similar as sim
 from lumenlog.operators import slo, stats
+from lumenlog.plans import risk_plans
 from lumenlog.sources import logs as src
 from lumenlog.sources import tables
 
@@ -321,3 +322,10 @@ def test_stratified_split_takes_the_same_share_of_each_class(spark):
     )
     got = {(r.label, r.is_train): r["count"] for r in ft.stratified_split(rows).groupBy("label", "is_train").count().collect()}
     assert got == {(1, True): 37, (1, False): 13, (0, True): 1462, (0, False): 488}
+
+
+def test_every_hour_has_burn_rows(spark):
+    dir = "/root/testdata/sf0.001"
+    hours = ft.severity_minutes(risk_plans._signals(spark, dir)).count()
+    assert risk_plans._burn_rows(spark, dir).count() == 3 * hours
+    assert risk_plans._features(spark, dir).where("(err_count_now > 0) != (burn_rate_5m > 0)").count() == 0
