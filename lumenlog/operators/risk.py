@@ -36,7 +36,7 @@ def train(
     """Fit boosted trees on features with a ``label``; returns the model and the split rows.
 
     Positives weigh as much as the negatives of the training part together. The held-out part
-    stops the boosting early.
+    stops the boosting at the first round that does not lower its error.
     """
     rows = stratified_split(labelled, train_fraction) if split == "stratified" else time_split(labelled, train_fraction)
     rows = checkpointed(rows)  # every boosting round reads it
@@ -51,7 +51,7 @@ def train(
         }
     )
     gbt = GBTClassifier(
-        featuresCol="features", labelCol="label", weightCol="w", validationIndicatorCol="held_out",
+        featuresCol="features", labelCol="label", weightCol="w", validationIndicatorCol="held_out", validationTol=0.0,
         maxDepth=depth, stepSize=step, maxIter=rounds, subsamplingRate=SUBSAMPLE,
         featureSubsetStrategy=COLUMN_SHARE, minInstancesPerNode=MIN_CHILD, seed=SEED,
     )

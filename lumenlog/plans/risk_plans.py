@@ -351,14 +351,11 @@ def detector_eval(spark, sf):
     return ev.evaluate_detectors(rows, DETECTORS).select("detector", r6("roc_auc"), r6("pr_auc"), r6("fixed_f1"))
 
 
-HARNESS_ROUNDS, HARNESS_DEPTH = 12, 4
-
-
 def _model(spark, sf):
     from lumenlog.operators import risk
 
     labelled = ft.join_labels(_features(spark, sf), _labels(spark, sf))
-    return risk.train(labelled, rounds=HARNESS_ROUNDS, depth=HARNESS_DEPTH)
+    return risk.train(labelled)
 
 
 @query("train_risk_model")

@@ -9,6 +9,7 @@ from lumenlog.operators import evaluate as ev
 from lumenlog.operators import features as ft
 from lumenlog.operators import graph as gr
 from lumenlog.operators import incidents as inc
+from lumenlog.operators import risk
 from lumenlog.operators import signals as sg
 from lumenlog.operators import similar as sim
 from lumenlog.operators import slo, stats
@@ -329,3 +330,17 @@ def test_every_hour_has_burn_rows(spark):
     hours = ft.severity_minutes(risk_plans._signals(spark, dir)).count()
     assert risk_plans._burn_rows(spark, dir).count() == 3 * hours
     assert risk_plans._features(spark, dir).where("(err_count_now > 0) != (burn_rate_5m > 0)").count() == 0
+
+
+def test_risk_queries_train_with_the_operators_settings(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(risk, "train", lambda labelled, **settings: asked.append(settings))
+    risk_plans._model(spark, "/root/testdata/sf0.001")
+    assert asked == [{}]
+
+
+def test_small_gains_do_not_stop_the_boosting(spark):
+    dir = "/root/testdata/sf0.001"
+    labelled = ft.join_labels(risk_plans._features(spark, dir), risk_plans._labels(spark, dir))
+    model, _ = risk.train(labelled, rounds=3, depth=2)
+    assert model.getNumTrees > 1 and model.getOrDefault("validationTol") == 0
