@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlog.llm import (
-    byte_pairs, decontamination, html_text, language_model, license_scan, quality_classifier, quality_rules, simhash, token_counts, token_files,
+    byte_pairs, collocations, decontamination, divergence, embedding_links, html_text, language_model, license_scan, quality_classifier, quality_rules, simhash, token_counts, token_files,
 )
 from lumenlog.llm.common import table
 
@@ -56,11 +56,24 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_extraction, op3_simhash, op4_token_files, op5_license_scan, op6_token_counts,
-        op7_quality_classifier, op8_decontamination, op9_byte_bpe, op10_language_model,
+        op7_quality_classifier, op8_decontamination, op9_byte_bpe, op10_language_model, op11_source_divergence,
+        op12_embedding_links, op13_collocations,
     )
 }
 
@@ -135,4 +148,58 @@ WITH d AS (
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_source_divergence": r"""
+WITH d AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), c AS (
+    SELECT lang, source, term, count(*) AS c, count(DISTINCT id) AS docs FROM (SELECT id, lang, source, unnest(ws) AS term FROM d) GROUP BY ALL
+), k AS (SELECT lang, term, sum(c)::HUGEINT AS total FROM c GROUP BY lang, term HAVING sum(docs) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+full_counts AS (SELECT g.lang, g.source, k.term, k.total, coalesce(c.c, 0)::HUGEINT AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+priced AS (
+    SELECT lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 1) // (sum(c) OVER w + count(*) OVER w)::HUGEINT AS p,
+        1 + 1000000000::HUGEINT * (total + 1) // (sum(total) OVER w + count(*) OVER w)::HUGEINT AS q
+    FROM full_counts WINDOW w AS (PARTITION BY lang, source)
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value
+    FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+    FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND other = y.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM priced WHERE c > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_embedding_links": r"""
+WITH RECURSIVE v AS (
+    SELECT row_number() OVER () AS id, vec_id, embedding::DOUBLE[] AS e,
+        coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+    FROM embeddings
+), links AS (
+    SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.ok AND b.ok AND a.id <> b.id AND len(a.e) = len(b.e)
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.9
+), reach AS (SELECT id AS a, id AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = v.id
+JOIN (SELECT reach.a, min(x.vec_id) AS component_id FROM reach JOIN v x ON x.id = reach.b GROUP BY reach.a) r ON r.a = v.id""",
+    "op13_collocations": r"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+    FROM documents
+), g AS (
+    SELECT lang, k, list_slice(ws, i, i + k - 1) AS w, count(*)::HUGEINT AS f
+    FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k) GROUP BY ALL
+), c AS (SELECT lang, k, w, f AS a FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, w, a, list_slice(w, 1, i) AS first, list_slice(w, i + 1, k) AS rest, i FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+scored AS (
+    SELECT cuts.*, x.f AS l, y.f AS r, 1000000 * a * a // (x.f * y.f) AS score
+    FROM cuts JOIN g x ON x.lang = cuts.lang AND x.w = cuts.first JOIN g y ON y.lang = cuts.lang AND y.w = cuts.rest
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, i) = 1),
+inner_phrases AS (SELECT lang, list_slice(w, i, i + 1) AS w, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT s.*, array_to_string(s.w, ' ') AS phrase FROM weakest s LEFT JOIN inner_phrases o ON o.lang = s.lang AND o.w = s.w WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang) t USING (lang) QUALIFY rank <= 2000""",
 }
