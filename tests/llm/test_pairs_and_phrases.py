@@ -226,12 +226,27 @@ def test_trie_counts_like_a_dictionary():
     phrases = sorted({("en" if draw.random() < 0.7 else "de", " ".join(draw.choices(words, k=draw.choice((2, 3, 3, 5))))) for _ in range(2500)})
     trie = collocations.Trie(phrases)
     texts = [(draw.choice(("en", "de", "fr")), " ".join(draw.choices([*words, ".", "other"], k=400))) for _ in range(30)]
-    tokens, sizes, langs, want = [], [], [], collections.Counter()
+    want = collections.Counter()
     for lang, text in texts:
         mine = collocations.words(text)
         for k in (2, 3, 5):
             want.update((lang, b" ".join(mine[i : i + k]).decode()) for i in range(len(mine) - k + 1) if b"." not in mine[i : i + k])
-        tokens, sizes, langs = tokens + mine, [*sizes, len(mine)], [*langs, lang]
-    counts = trie.count(collocations._portion(tokens, sizes, langs))
+    counts = trie.count([lang for lang, _ in texts], [text for _, text in texts])
     assert counts.tolist() == [want[p] for p in phrases]
     assert counts.sum() > 0
+
+
+def test_tries_hold_nodes_with_very_many_children():
+    phrases = sorted({("en", f"{a} w{k}") for a in ("the", "of", "and") for k in range(20_000)})
+    trie = collocations.Trie(phrases)
+    assert trie.count(["en", "en"], ["the w7 of w9 of", "w19999. the w19999 the w19999"]).sum() == 4
+
+
+def test_places_are_those_of_the_words():
+    texts = ["A b.c  d\te;", "", "\n\n", "x" * 9000 + " é É\x85z\x1cw", "b b b"]
+    places = collocations.Places(["en", "de", "en", "de", "en"], texts)
+    found = [places.phrase(k, 1) for k in range(len(places.starts))]
+    assert found == [w.decode() for t in texts for w in collocations.words(t) if w != b"."]
+    same = {(places.langs[t], w): h for t, w, h in zip(places.text, found, places.hashes.tolist())}
+    assert len(set(same.values())) == len(same)
+    assert all(same[places.langs[t], w] == h for t, w, h in zip(places.text, found, places.hashes.tolist()))
