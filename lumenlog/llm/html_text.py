@@ -202,6 +202,14 @@ class Block:
     heading: bool
 
 
+#: The mark of what stands in a form or in an element named like furniture: an article or main element in it starts anew.
+WRAPPED = 2
+#: Names of parts that articles of their own may stand in, which are no main text.
+READERS = frozenset({"comment", "comments", "reply", "replies", "respond", "discussion", "related", "hidden"})
+#: Names that only say whether the page has such a part.
+_WITHOUT = re.compile(r"(?:has|no|with|without)[^a-z]")
+
+
 class _Page:
     """The flat blocks of a page, gathered while its markup is read once."""
 
@@ -254,12 +262,16 @@ class _Page:
         if tag in VOID or rest.rstrip().endswith("/"):
             return
         furniture, article, link, heading = self.state
-        if tag in FURNITURE:
-            furniture = True
+        if tag in ("article", "main") and furniture == WRAPPED:
+            furniture = False
+        if tag in FURNITURE and not (tag == "header" and article):
+            furniture = furniture or (WRAPPED if tag == "form" else True)
         if rest:
             names = " ".join(next(filter(None, m), "") for m in _NAMES.findall(rest)).lower()
-            if names and not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z]+", names)) and tag not in ("html", "body", "article", "main"):
-                furniture = True
+            if names and tag not in ("html", "body", "article", "main"):
+                parts = {x for name in names.split() if not _WITHOUT.match(name) for x in re.split(r"[^a-z]+", name)}
+                if not FURNITURE_NAMES.isdisjoint(parts):
+                    furniture = furniture or (WRAPPED if READERS.isdisjoint(parts) else True)
             if "h" in rest and _HIDDEN.search(rest) or "none" in rest and _HIDDEN.search(rest):
                 furniture = True
         article = article or tag in ("article", "main")
@@ -310,7 +322,7 @@ def main_text(page: str, tree: Node | None = None) -> str:
     shape = [(0.0, 0.0), *((float(b.words), 100 * b.linked / b.words) for b in found), (0.0, 0.0)]
     kept = [
         b.text for k, b in enumerate(found)
-        if keeps(tree, (*shape[k + 1], *shape[k], *shape[k + 2], float(b.furniture), float(b.article), float(b.heading)))
+        if keeps(tree, (*shape[k + 1], *shape[k], *shape[k + 2], float(bool(b.furniture)), float(b.article), float(b.heading)))
     ]
     return "\n\n".join(kept)
 

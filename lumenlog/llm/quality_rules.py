@@ -31,7 +31,6 @@ GRID = tuple(range(25, 1000, 25))
 RISK = 0.02
 ERROR = 0.05
 #: Strata of this many rows at most have their cutoffs broadcast; more are joined.
-BROADCAST_ROWS = 20_000
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -141,15 +140,23 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR) -> Da
     return held.where("caught > k").withColumn("place", best).where("place = 1").select("stratum", "rule", "cutoff")
 
 
+def _hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash")
+
+
 def learned(measures: DataFrame, labels: DataFrame) -> DataFrame:
-    """(stratum, c_<rule> of each rule) of the strata with cutoffs, from ``measures`` (id, stratum, measures).
+    """(stratum, c_<rule> of each rule) of the strata with cutoffs, from ``measures`` (id, stratum, hash, measures).
 
-    Labels are those of ``labels`` (doc_id, quality); of rows labelled twice the smaller counts. Documents that
-    fail the base rules are not calibrated on. Labels meet measures and not texts, so that no text is shuffled.
+    Labels are those of ``labels`` (doc_id, quality); of rows labelled twice the smaller counts. The bound holds for
+    independent trials, so a labelled id on several rows counts once, by the row with the smallest text hash, and
+    equal texts of a stratum count once, as rejected if any label says so. Documents that fail the base rules are
+    not calibrated on. Labels meet measures and not texts, so that no text is shuffled.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("quality"))
-    some = measures.where(~base_failed()).select("id", "stratum", *[c.alias(n) for n, c in rules().items()]).join(known, "id")
-    labelled = some.select("stratum", (F.col("quality") == 1).alias("good"), *rules())
+    some = measures.where(~base_failed()).select("id", "stratum", "hash", *[c.alias(n) for n, c in rules().items()]).join(known, "id")
+    once = some.groupBy("id").agg(F.min(F.struct("hash", "stratum", "quality", *rules())).alias("row")).select("row.*")
+    distinct = once.groupBy("stratum", "hash").agg(F.min(F.struct("quality", *rules())).alias("row"))
+    labelled = distinct.select("stratum", (F.col("row.quality") == 1).alias("good"), *[f"row.{r}" for r in rules()])
     chosen = stored(cutoffs(stored(labelled, "quality-labelled")).coalesce(1), "quality-cutoffs")
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"c_{r}") for r in rules()])
 
@@ -160,8 +167,6 @@ def decided(rows: DataFrame, chosen: DataFrame, stratum: str, prefix: str = "")
     wide = chosen.select(
         F.coalesce("stratum", F.lit("")).alias(f"{p}key"), F.col("stratum").isNull().alias(f"{p}none"), *[F.col(f"c_{r}").alias(f"{p}c_{r}") for r in rules()]
     )
-    if chosen.count() <= BROADCAST_ROWS:
-        wide = F.broadcast(wide)
     keyed = rows.withColumns({f"{p}key": F.coalesce(F.col(stratum).cast("string"), F.lit("")), f"{p}none": F.col(stratum).isNull()})
     joined = keyed.join(wide, [f"{p}key", f"{p}none"], "left")
     rejected = functools.reduce(lambda a, b: a | b, [F.coalesce(c > F.col(f"{p}c_{r}"), F.lit(False)) for r, c in rules(p).items()])
@@ -174,7 +179,7 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str
 
     Texts are measured twice, to learn and to decide: neither a shuffle nor a stored table holds them.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"), _hash(text))
     return decided(measured(docs, text, prefix), learned(measured(narrow), labels), stratum, prefix)
 
 
@@ -185,7 +190,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Da
     come out as they are. Without labels only the base rules reject. Other columns are ignored. Texts are measured
     once and the measures stored.
     """
-    narrow = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text")
+    narrow = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), "text", _hash("text"))
     rows = stored(measured(narrow).drop("text"), "quality-measures")
     chosen = learned(rows.withColumn("id", F.col("doc_id").cast("long")), labels)
     return decided(rows, chosen, "stratum").select(

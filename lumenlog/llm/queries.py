@@ -97,7 +97,7 @@ WITH w AS (
     FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), (SELECT unnest([0, 1, 2]) AS k)
     GROUP BY doc_id
 ), m AS (
-    SELECT w.doc_id, w.lang, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    SELECT w.doc_id, w.lang, w.t, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
         coalesce(r.n, 0) AS n_repeat_words, length(t) AS n_chars, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper
     FROM w LEFT JOIN r ON w.doc_id = r.doc_id
@@ -105,8 +105,9 @@ WITH w AS (
     SELECT *, n_words < 50 OR n_repeat_words * 100 > n_words * 50 AS base_failed,{_SHARES}
     FROM m
 ), known AS (
-    SELECT lang, quality = 1 AS good, symbols, dup_lines, repeats, upper
+    SELECT lang, min(quality) = 1 AS good, any_value(symbols) AS symbols, any_value(dup_lines) AS dup_lines, any_value(repeats) AS repeats, any_value(upper) AS upper
     FROM s JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+    GROUP BY lang, t
 ), long AS (UNPIVOT known ON symbols, dup_lines, repeats, upper INTO NAME rule VALUE share), tests AS (
     SELECT lang, rule, cutoff, sum(good::INT)::BIGINT AS n, sum((good AND share > cutoff)::INT)::BIGINT AS k, sum((NOT good AND share > cutoff)::INT)::BIGINT AS caught
     FROM long, (SELECT unnest(range(25, 1000, 25)) AS cutoff) GROUP BY ALL

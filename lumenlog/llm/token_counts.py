@@ -21,7 +21,8 @@ from lumenlog.llm.token_files import coder
 
 #: Ids of a block.
 BLOCK = 1 << 20
-END = 50_256
+#: An id above those of the vocabulary, so that no text gets it.
+END = 65_535
 SCHEMA = "part int, block long, ids binary, doc_ids array<long>"
 
 

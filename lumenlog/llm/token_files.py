@@ -18,6 +18,7 @@ over the texts writes the files, and a block can be read alone.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,18 +80,36 @@ def rank(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order.astype("<u4"), places[ids]
 
 
-@functools.cache
-def coder(path: str) -> PieceCoder:
-    """The cached coder of a tokenizer file; one for each Python worker."""
-    tokenizer = Tokenizer.from_file(path)
+class TextCoder:
+    """Ids of whole texts as the library gives them: strings of the file's added tokens are found first, and what
+    stands between them is encoded alone."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        tokenize = tokenizer.model.tokenize  # of one piece, spelt in the byte alphabet
+
+        def piece(text: str) -> bytes:
+            spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
+            return np.array([token.id for token in tokenize(spelt)], "<u4").tobytes()
 
-    tokenize = tokenizer.model.tokenize  # of one piece, spelt in the byte alphabet
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in what stands around them are not supported")
+        self.added = {t.content: np.array([key], "<u4").tobytes() for key, t in added.items() if t.content}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
+        self.parts = PieceCoder(public_tokenizers.PATTERN, piece, limit=800_000)
 
-    def piece(text: str) -> bytes:
-        spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
-        return np.array([token.id for token in tokenize(spelt)], "<u4").tobytes()
+    def encode(self, text: str) -> bytes:
+        if self.split is None or not any(x in text for x in self.added):
+            return self.parts.encode(text)
+        cut = self.split(text)  # every second one is an added token
+        return b"".join([self.added[x] if k % 2 else self.parts.encode(x) for k, x in enumerate(cut)])
 
-    return PieceCoder(public_tokenizers.PATTERN, piece, limit=800_000)
+
+@functools.cache
+def coder(path: str) -> TextCoder:
+    """The cached coder of a tokenizer file; one for each Python worker."""
+    return TextCoder(Tokenizer.from_file(path))
 
 
 def _block(part: int, block: int, first: int, keys: list[int | None], ids: list[np.ndarray]) -> tuple:
@@ -102,8 +121,9 @@ def _block(part: int, block: int, first: int, keys: list[int | None], ids: list[
 def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
     """Write the ids of every whole text of ``docs`` (doc_id, text), ``end`` after each, in doc_id order.
 
-    Null texts count as empty; null ids come first; rows of one id are in the order of their texts. Every row
-    is written, repeated rows as well. No rows give files without blocks.
+    Null texts count as empty; null ids come first; rows of one id are in the order of their texts' XXH64, then of
+    the texts. Tasks get ranges of ids and hashes, so that an id on very many rows is not one task's. Every row is
+    written, repeated rows as well. No rows give files without blocks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,8 +143,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
             yield frame([_block(part, block, first, keys, ids)], columns, ())
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInPandas(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("deal"))
+    ordered = keyed.repartitionByRange("doc_id", "deal").sortWithinPartitions("doc_id", "deal", "text")
+    ordered.select("doc_id", "text").mapInPandas(run, SCHEMA).write.option("compression", "zstd").parquet(path)
     return path
 
 

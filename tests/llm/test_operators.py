@@ -114,6 +114,18 @@ def test_cutoffs_hold_the_exact_bound(spark):
     assert math.isclose(p, sum(math.comb(2002, j) * 0.005**j * 0.995 ** (2002 - j) for j in range(3)), rel_tol=1e-9)
 
 
+def test_a_label_counts_once_however_often_its_row_occurs(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    often = [(1, base)] * 1500 + [(k, base + " again") for k in range(100, 1500)]  # two texts, not 2900
+    noisy = [(k, base + f" {k} " + "#" * 200) for k in range(2, 8)]
+    docs = spark.createDataFrame([(*r, "en") for r in often + noisy], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k not in range(2, 8))) for k in (*range(1, 8), *range(100, 1500))], "doc_id long, quality int")
+    assert rows(quality_rules.apply_rules(docs, labels), "kept") == {(True,): 2906}
+    distinct = [(k, base + f" number {k}") for k in range(100, 1500)]
+    docs = spark.createDataFrame([(*r, "en") for r in distinct + noisy], "doc_id long, text string, lang string")
+    assert rows(quality_rules.apply_rules(docs, labels), "kept") == {(True,): 1400, (False,): 6}
+
+
 def test_rules_without_labels_or_rows(spark, odd, empty):
     none = some(spark, "labels").limit(0)
     kept = quality_rules.apply_rules(odd, none)
@@ -138,6 +150,26 @@ def test_main_text():
     assert html_text.main_text("<article><p>cut off here</p><p>rest &am") == "cut off here\n\nrest &am"
 
 
+def test_wrappers_around_the_article():
+    words = "A long enough sentence of the article with many plain words in it, and no links at all in there."
+    body = f"<header><h1>The title</h1></header><p>{words}</p><p>{words}</p>"
+    want = f"The title\n\n{words}\n\n{words}"
+    for before, after in (
+        ('<div class="content has-sidebar"><article>', "</article></div>"), ("<form action=/><article>", "</article></form>"),
+        ('<div class="page no-share"><main>', "</main></div>"), ('<div id="sidebar-left-layout"><article>', "</article></div>"),
+    ):
+        assert html_text.main_text(f"<body><nav><a href=/>Home</a></nav>{before}{body}{after}<footer>us</footer></body>") == want
+    plain = f'<div class="content has-sidebar"><p>{words}</p><p>{words}</p></div>'
+    assert html_text.main_text(plain) == f"{words}\n\n{words}"
+    assert html_text.main_text(f"<article><p>{words}</p></article><div class=comments><article><p>{words}</p></article></div>") == words
+
+
+def test_a_deep_and_a_long_page():
+    words = "A long enough sentence of the article with many plain words in it, and no links at all in there."
+    assert html_text.main_text("<div>" * 5000 + f"<article><p>{words}</p></article>" + "</div>" * 5000) == words
+    assert html_text.main_text("<article>" + f"<p>{words}</p>" * 20_000 + "</article>") == "\n\n".join([words] * 20_000)
+
+
 def test_extract_odd_pages(spark):
     pages = spark.createDataFrame([(1, None, None, "a"), (None, "u", "", "b"), (3, "v", "<article><p>é😀 x</p>", "c"), (3, "v", "<article><p>é😀 x</p>", "c")], "page_id long, url string, html string, text string")
     got = rows(html_text.extract(pages), "page_id", "url", "text", "n_chars")
@@ -218,12 +250,11 @@ def test_components_of_long_chains(spark):
 
 def library_ids(texts):
     tok = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
-    tok.encode_special_tokens = True
     return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab é'sßT1,.漢 \n\t \x1c\x85<|>", max_size=40))
+@given(st.lists(st.sampled_from([*"ab é'sßT1,.漢 \n\t \x1c\x85<|>", "<|endoftext|>"]), max_size=40).map("".join))
 def test_pieces_give_the_ids_of_whole_texts(text):
     ids = np.frombuffer(token_files.coder(public_tokenizers.path(queries.BYTE_BPE)).encode(text), "<u4").tolist()
     assert ids == library_ids([text])[0]
@@ -237,11 +268,29 @@ def test_packed_values(values):
     assert varints.unpack(packed.tobytes()).tolist() == values
 
 
+def test_added_tokens_are_ids_of_their_own(spark):
+    path, mark = public_tokenizers.path(queries.BYTE_BPE), "<|endoftext|>"
+    found = [mark, f"{mark}x", f"x {mark} y", f"x{mark}", f"{mark}{mark}", f"<|{mark}|>", f" {mark}  y"]
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    want = dict(enumerate(library_ids(found)))
+    assert want[1] == [50256, 87]
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist()[:-1] for r in token_files.round_trip(docs, path).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in token_counts.totals(docs, path).collect()} == {k: len(v) for k, v in want.items()}
+
+
+def test_a_missing_id_is_dealt_to_many_tasks(spark, tmp_path):
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    path = token_files.write(docs, public_tokenizers.path(queries.BYTE_BPE), str(tmp_path / "ids"))
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1800
+
+
 def test_token_files(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK", 500)
     path = public_tokenizers.path(queries.BYTE_BPE)
     for docs in (odd, some(spark)):
-        found = sorted(pairs(docs), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
+        keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("deal"))
+        found = [(r.doc_id, r.text) for r in keyed.orderBy("doc_id", "deal", "text").collect()]
         start, want = 0, collections.Counter()
         for (key, _), ids in zip(found, library_ids([t for _, t in found])):
             data = np.array([*ids, 2], "<u4").tobytes()
