@@ -106,7 +106,7 @@ def _burn_rows(spark, sf):
 
 
 _BURN_COLS = ", ".join(
-    f"round(CASE WHEN hour(m) % 6 = 0 THEN err / total * {mins} ELSE 0.0 END, 6) AS burn_rate_{name}"
+    f"round(err / total * {mins}, 6) AS burn_rate_{name}"
     for name, mins in ft.BURN_MINUTES.items()
 )
 
