@@ -30,7 +30,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 GRID = tuple(range(25, 1000, 25))
 RISK = 0.02
 ERROR = 0.05
-#: Strata of this many rows at most have their cutoffs broadcast; more are joined.
 
 
 def _without(text: Column, characters: str) -> Column:

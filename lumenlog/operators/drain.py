@@ -9,13 +9,17 @@ occurrence on. So templates depend only on the first occurrence of each distinct
 message, and the group of any row is the lowest-numbered template that fully matches it at the
 row's time. Learning therefore runs over distinct messages in bounded rounds, and assignment
 is a join with the log of template changes.
+
+Which templates a message fully matches is looked up in an index. A template is stored by the positions that
+are wildcards in it or in the message and by its words at all others, so a message meets the templates with
+its own words there and no others. Leaves are salted, so one that holds most rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import WILDCARD, masked, prefix_token, tokens
@@ -23,7 +27,9 @@ from lumenlog.session import checkpointed
 
 SIMILARITY = 0.5
 MAX_GROUPS = 128
-ROUND_SIZE = 20_000
+ROUND_SIZE = 5_000
+#: Tasks that one leaf is spread over in sorts and joins.
+SALTS = 32
 
 
 def with_leaf(logs: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -41,12 +47,40 @@ def with_leaf(logs: DataFrame, scope: list[str] | None = None) -> DataFrame:
     )
 
 
-def fully_matches(template: Column, message: Column) -> Column:
-    same = F.zip_with(template, message, lambda a, b: (a == b) | (a == WILDCARD) | (b == WILDCARD))
-    return F.forall(same, lambda ok: ok)
+def _open(words: Column) -> Column:
+    """Which positions are wildcards, a character each."""
+    return F.array_join(F.transform(words, lambda w: F.when(w == WILDCARD, "1").otherwise("0")), "")
+
+
+def _closed(words: Column, *shapes: str) -> Column:
+    """The words at positions that no shape leaves open."""
+
+    def word(w: Column, i: Column) -> Column:
+        held = [F.substr(F.col(x), i + 1, F.lit(1)) == "0" for x in shapes]
+        return F.when(held[0] & held[1], w).otherwise("")
+
+    return F.array_join(F.transform(words, word), " ")
+
 
+def _salt(df: DataFrame) -> Column:
+    return F.pmod(F.xxhash64("masked"), F.lit(SALTS)).cast("int").alias("_salt")
 
-def _learner(similarity: float, max_groups: int):
+
+def full_matches(messages: DataFrame, templates: DataFrame) -> DataFrame:
+    """Every distinct message (leaf, masked, tokens, ...) with every template (leaf, template, ...) that it fully matches.
+
+    The shapes of a leaf, not its messages, are paired; a pair of shapes says which positions must agree.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    asked = messages.withColumn("_own", _open(F.col("tokens"))).select("*", _salt(messages))
+    held = templates.withColumn("_free", _open(F.col("template")))
+    shapes = asked.select("leaf", "_own").distinct().join(held.select("leaf", "_free").distinct(), "leaf")
+    asked = asked.join(shapes.select("*", salts), ["leaf", "_own", "_salt"]).withColumn("_words", _closed(F.col("tokens"), "_own", "_free"))
+    held = held.join(shapes, ["leaf", "_free"]).withColumn("_words", _closed(F.col("template"), "_own", "_free")).select("*", salts)
+    return asked.join(held, ["leaf", "_own", "_free", "_words", "_salt"]).drop("_own", "_free", "_words", "_salt")
+
+
+def _learner(similarity: float, max_groups: int | None):
     """Pandas function: ordered distinct messages of one leaf to its template changes."""
 
     def learn(key: tuple, messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -55,26 +89,32 @@ def _learner(similarity: float, max_groups: int):
         def encode(words) -> np.ndarray:
             return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
 
-        groups = [encode(t) for t in known.sort_values("ordinal")["template"]]
-        changes = []
+        known = [encode(t) for t in known.sort_values("ordinal")["template"]]
         messages = messages.sort_values(["first_us", "first_tie"])
+        length = len(known[0]) if known else (len(messages["tokens"].iloc[0]) if len(messages) else 0)
+        table = np.zeros((max(16, 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
+        size = len(known)
+        if known:
+            table[:size] = np.stack(known)
+        changes = []
         for us, tie, words in zip(messages["first_us"], messages["first_tie"], messages["tokens"]):
             row = encode(words)
             best, share = -1, -1.0
-            if groups:
-                table = np.stack(groups)
-                hits = ((table == row) | (table == 0) | (row == 0)).mean(axis=1)
+            if size:
+                held = table[:size]
+                hits = ((held == row) | (held == 0) | (row == 0)).sum(axis=1)
                 best = int(hits.argmax())
-                share = float(hits[best])
+                share = float(hits[best] / length)
             if share == 1.0:
                 continue
-            if share < similarity and len(groups) < max_groups:
-                groups.append(row)
-                best = len(groups) - 1
+            if share < similarity and (max_groups is None or size < max_groups):
+                if size == len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                table[size] = row
+                best, size = size, size + 1
             else:
-                old = groups[best]
-                groups[best] = np.where((old == row) | (row == 0), old, 0)
-            changes.append((us, tie, best, groups[best]))
+                table[best] = np.where((table[best] == row) | (row == 0), table[best], 0)
+            changes.append((us, tie, best, table[best].copy()))
         words_of = list(codes)
         return pd.DataFrame(
             {
@@ -90,60 +130,69 @@ def _learner(similarity: float, max_groups: int):
     return learn
 
 
-def _current(changes: DataFrame) -> DataFrame:
+def current_templates(changes: DataFrame) -> DataFrame:
     """Newest template of each group."""
     return changes.groupBy("leaf", "ordinal").agg(
         F.max_by("template", F.struct("since_us", "since_tie")).alias("template")
     )
 
 
+def _uncovered(pending: DataFrame, templates: DataFrame) -> DataFrame:
+    """The pending messages that no template fully matches; the others change nothing any more."""
+    covered = full_matches(pending.select("leaf", "masked", "tokens"), templates.select("leaf", "template"))
+    return pending.join(covered.select("leaf", "masked").distinct(), ["leaf", "masked"], "left_anti")
+
+
 def learn_templates(
-    distinct: DataFrame, *, similarity: float = SIMILARITY, max_groups: int = MAX_GROUPS,
-    round_size: int = ROUND_SIZE,
+    distinct: DataFrame, *, known: DataFrame | None = None, similarity: float = SIMILARITY,
+    max_groups: int | None = MAX_GROUPS, round_size: int = ROUND_SIZE,
 ) -> DataFrame:
-    """All template changes as (leaf, since_us, since_tie, ordinal, template).
+    """All template changes as (leaf, since_us, since_tie, ordinal, template), those of ``known`` included.
 
     ``distinct`` has one row per leaf and masked message with its first occurrence. A round hands
-    at most ``round_size`` messages of a leaf to one task; before the next round every message
-    the templates already cover is dropped in parallel, so a huge leaf shrinks quickly.
+    the first ``round_size`` messages of a leaf to one task; before the next round every message
+    the templates already cover is dropped in parallel, so a huge leaf shrinks quickly. The result is that
+    of one pass in the order of time, whatever ``round_size`` is. ``max_groups`` None sets no limit to the
+    templates of a leaf.
     """
     tie_type = distinct.schema["first_tie"].dataType.simpleString()
     schema = f"leaf string, since_us bigint, since_tie {tie_type}, ordinal int, template array<string>"
     learn = _learner(similarity, max_groups)
     spark = distinct.sparkSession
-    pending = checkpointed(distinct.select("leaf", "masked", "tokens", "first_us", "first_tie"))
-    changes = spark.createDataFrame([], schema)
+    pending = distinct.select("leaf", "masked", "tokens", "first_us", "first_tie")
+    changes = spark.createDataFrame([], schema) if known is None else known.select("leaf", "since_us", F.col("since_tie").cast(tie_type), "ordinal", "template")
+    pending = checkpointed(pending if known is None else _uncovered(pending, current_templates(changes)))
     while True:
         largest = pending.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if not largest:
             return changes
-        batch = pending
-        if largest > round_size:
-            # A bounded head of every leaf; ranking is limited per leaf before the shuffle.
-            batch = _heads(pending, round_size)
-        known = _current(changes)
-        new = batch.groupBy("leaf").cogroup(known.groupBy("leaf")).applyInPandas(learn, schema)
+        batch = _heads(pending, round_size)
+        new = batch.groupBy("leaf").cogroup(current_templates(changes).groupBy("leaf")).applyInPandas(learn, schema)
         changes = checkpointed(changes.unionByName(new))
         if largest <= round_size:
             return changes
         rest = pending.join(batch.select("leaf", "masked"), ["leaf", "masked"], "left_anti")
-        state = _current(changes).select(F.col("leaf").alias("_leaf"), "template")
-        covered = (F.col("leaf") == F.col("_leaf")) & fully_matches(F.col("template"), F.col("tokens"))
-        pending = checkpointed(rest.join(state, covered, "left_anti"))
+        pending = checkpointed(_uncovered(rest, current_templates(changes)))
 
 
 def _heads(pending: DataFrame, size: int) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("leaf").orderBy("first_us", "first_tie")
-    return pending.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
-
-
-def assign_templates(
-    logs: DataFrame, *, scope: list[str] | None = None, tie: str | None = None,
-    similarity: float = SIMILARITY, max_groups: int = MAX_GROUPS, round_size: int = ROUND_SIZE,
-) -> DataFrame:
-    """Add cluster_id, template_at (as of the row's time) and template_final to every log row."""
+    """The first ``size`` messages of each leaf: first of each salt of a leaf, then of those that are left."""
+    rows = pending.select("*", _salt(pending))
+    for keys in (["leaf", "_salt"], ["leaf"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_us", "first_tie"))
+        rows = rows.withColumn("_rn", place).where(F.col("_rn") <= size).drop("_rn")
+    return rows.drop("_salt")
+
+
+def mined(
+    logs: DataFrame, *, scope: list[str] | None = None, tie: str | None = None, known: DataFrame | None = None,
+    similarity: float = SIMILARITY, max_groups: int | None = MAX_GROUPS, round_size: int = ROUND_SIZE,
+) -> tuple[DataFrame, DataFrame]:
+    """Every log row with cluster_id, ordinal, template_at (as of the row's time) and template_final, and the template changes.
+
+    ``known`` holds templates (leaf, ordinal, template) from before: they are older than all rows, whatever the
+    rows' times are.
+    """
     tie = tie or ("log_id" if "log_id" in logs.columns else "masked")
     rows = with_leaf(logs, scope)
     distinct = (
@@ -155,31 +204,38 @@ def assign_templates(
             F.col("_first._us").alias("first_us"), F.col("_first._tie").alias("first_tie"),
         )
     )
-    changes = learn_templates(distinct, similarity=similarity, max_groups=max_groups, round_size=round_size)
-    final = _current(changes).select("leaf", "ordinal", F.array_join("template", " ").alias("template_final"))
+    if known is not None:
+        known = known.select("leaf", F.lit(-(1 << 63)).cast("long").alias("since_us"), F.lit(None).alias("since_tie"), "ordinal", "template")
+    distinct = checkpointed(distinct)
+    changes = learn_templates(distinct, known=known, similarity=similarity, max_groups=max_groups, round_size=round_size)
+    final = current_templates(changes).select("leaf", "ordinal", F.array_join("template", " ").alias("template_final"))
     log = changes.join(final, ["leaf", "ordinal"]).select(
-        F.col("leaf").alias("_leaf"), F.struct("since_us", "since_tie").alias("since"), "ordinal", "template", "template_final"
+        "leaf", F.struct("since_us", "since_tie").alias("since"), "ordinal", "template", "template_final"
     )
-    matched = (F.col("leaf") == F.col("_leaf")) & fully_matches(F.col("template"), F.col("tokens"))
     entry = F.struct("since", "ordinal", F.array_join("template", " ").alias("template"), "template_final")
     epochs = (
-        distinct.join(log, matched)
+        full_matches(distinct.select("leaf", "masked", "tokens"), log)
         .groupBy("leaf", "masked")
         .agg(F.array_sort(F.collect_list(entry)).alias("_epochs"))
     )
     at = F.struct(F.unix_micros("timestamp").alias("since_us"), F.col(tie).alias("since_tie"))
     joined = rows.withColumn("_at", at).join(epochs, ["leaf", "masked"])
     past = joined.withColumn("_past", F.filter("_epochs", lambda e: e["since"] <= F.col("_at")))
-    lowest = past.withColumn("_g", F.array_min(F.transform("_past", lambda e: e["ordinal"])))
-    hit = F.element_at(F.filter("_past", lambda e: e["ordinal"] == F.col("_g")), -1)
+    lowest = past.withColumn("ordinal", F.array_min(F.transform("_past", lambda e: e["ordinal"])))
+    hit = F.element_at(F.filter("_past", lambda e: e["ordinal"] == F.col("ordinal")), -1)
     out = lowest.withColumn("_hit", hit).withColumns(
         {
-            "cluster_id": F.substring(F.sha1(F.concat_ws("|", "leaf", F.col("_g").cast("string"))), 1, 16),
+            "cluster_id": F.substring(F.sha1(F.concat_ws("|", "leaf", F.col("ordinal").cast("string"))), 1, 16),
             "template_at": F.col("_hit.template"),
             "template_final": F.col("_hit.template_final"),
         }
     )
-    return out.drop("_epochs", "_at", "_past", "_g", "_hit", "tokens", "prefix")
+    return out.drop("_epochs", "_at", "_past", "_hit", "tokens", "prefix"), changes
+
+
+def assign_templates(logs: DataFrame, **options) -> DataFrame:
+    """Add cluster_id, template_at (as of the row's time) and template_final to every log row; see :func:`mined`."""
+    return mined(logs, **options)[0].drop("ordinal")
 
 
 def top_templates(assigned: DataFrame, n: int = 20) -> DataFrame:
@@ -188,23 +244,3 @@ def top_templates(assigned: DataFrame, n: int = 20) -> DataFrame:
         F.first("template_final").alias("template"), F.count(F.lit(1)).alias("count")
     )
     return counts.orderBy(F.desc("count"), "template", "cluster_id").limit(n)
-
-
-def stream_learner(similarity: float = SIMILARITY, max_groups: int = MAX_GROUPS):
-    """Row-wise form for a stream: tokens and a list of templates in, group and templates out."""
-
-    def place(templates: list[list[str]], words: list[str]) -> tuple[int, bool]:
-        best, share = -1, -1.0
-        for i, template in enumerate(templates):
-            same = sum(a == b or WILDCARD in (a, b) for a, b in zip(template, words)) / len(words)
-            if same > share:
-                best, share = i, same
-        if share < similarity and len(templates) < max_groups:
-            templates.append(list(words))
-            return len(templates) - 1, True
-        merged = [a if a == b or b == WILDCARD else WILDCARD for a, b in zip(templates[best], words)]
-        changed = merged != templates[best]
-        templates[best] = merged
-        return best, changed
-
-    return place

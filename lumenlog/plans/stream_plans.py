@@ -75,8 +75,8 @@ def stream_incidents(spark, sf):
 @query("stream_templates")
 def stream_templates(spark, sf):
     base = run_dir(spark, "stream-templates")
-    jobs.run_available(jobs.mine_templates(log_stream(spark, sf)), f"{base}/checkpoint", path=f"{base}/out")
-    return spark.read.parquet(f"{base}/out")
+    jobs.run_available(log_stream(spark, sf), f"{base}/checkpoint", batch=jobs.template_sink(base))
+    return spark.read.parquet(f"{base}/template_rows").drop("batch")
 
 
 @query(

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DateType, IntegerType, LongType, StringType, StructField, StructType
 
 from lumenlog.functions.enrich import enrich_with_fingerprint, with_dimensions
 from lumenlog.operators import anomalies as an
@@ -53,7 +53,8 @@ def read_table(spark: SparkSession, root: str, table: str, schema: StructType) -
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema)
-    full = StructType([*schema.fields, StructField("dt", DateType()), StructField("batch", LongType())])
+    dated = [] if "dt" in schema.fieldNames() or schema == TEMPLATES else [StructField("dt", DateType())]
+    full = StructType([*schema.fields, *dated, StructField("batch", LongType())])
     return spark.read.schema(full).parquet(f"{root}/{table}")
 
 
@@ -171,32 +172,30 @@ def merge_incidents(candidates: DataFrame, gap_minutes: int = 30, delay: str = "
     )
 
 
-class TemplateMiner(StatefulProcessor):
-    """Template mining of one leaf; the state is the leaf's list of templates."""
+TEMPLATES = StructType(
+    [StructField("leaf", StringType()), StructField("ordinal", IntegerType()), StructField("template", ArrayType(StringType()))]
+)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.groups = handle.getValueState("groups", "templates array<string>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        place = dr.stream_learner()
-        templates = [t.split(" ") for t in self.groups.get()[0]] if self.groups.exists() else []
-        batch = pd.concat(list(rows)).sort_values(["us", "tie"])
-        out = []
-        for tie, words in zip(batch["tie"], batch["tokens"]):
-            group, _ = place(templates, list(words))
-            out.append((tie, key[0], group, " ".join(templates[group])))
-        self.groups.update(([" ".join(t) for t in templates],))
-        yield pd.DataFrame(out, columns=["log_id", "leaf", "ordinal", "template_at"])
+def template_sink(root: str, scope: list[str] | None = None, **options: Any) -> Callable[[DataFrame, int], None]:
+    """Batch function over raw logs (with log_id): the batch's rows with their templates, and the templates after it.
 
-    def close(self) -> None:
-        pass
+    Each batch writes all templates, at most ``max_groups`` a leaf, and reads those of the newest batch before it
+    alone. Only distinct messages that no template covers are learnt from. Rows of a batch are placed in the order
+    of their times, after all earlier batches, as one pass over the stream would.
+    """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = read_table(spark, root, "templates", TEMPLATES)
+        known = None
+        if "batch" in before.columns:
+            last = before.where(F.col("batch") < batch_id).agg(F.max("batch")).first()[0]
+            known = before.where(F.col("batch") == last).select(*TEMPLATES.fieldNames()) if last is not None else None
+        rows, changes = dr.mined(batch, scope=scope, known=known, **options)
+        rows = rows.select("log_id", "leaf", "ordinal", "template_at")
+        rows.write.mode("overwrite").parquet(f"{root}/template_rows/batch={batch_id}")
+        now = dr.current_templates(changes).select(*TEMPLATES.fieldNames())
+        now.write.mode("overwrite").parquet(f"{root}/templates/batch={batch_id}")
 
-def mine_templates(logs: DataFrame) -> DataFrame:
-    """Stream of logs (with log_id) to template assignments."""
-    logs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = dr.with_leaf(logs).select(
-        "leaf", "tokens", F.unix_micros("timestamp").alias("us"), F.col("log_id").alias("tie")
-    )
-    schema = "log_id bigint, leaf string, ordinal int, template_at string"
-    return rows.groupBy("leaf").transformWithStateInPandas(TemplateMiner(), schema, "Append", "None")
+    return write

@@ -42,7 +42,7 @@ def _check(make, messages, **options):
               "log_id bigint, message string, timestamp timestamp")
     got = {r["log_id"]: r for r in dr.assign_templates(df, **options).collect()}
     masked = [m for m in dr.with_leaf(df).orderBy("log_id").select("tokens").toPandas()["tokens"]]
-    cap = options.get("max_groups", 128)
+    cap = options.get("max_groups", 128) or len(messages)
     want, final = sequential([list(t) for t in masked], cap=cap)
     assert len(got) == len(messages)
     assert [got[i]["template_at"] for i in range(len(messages))] == [t for _, t in want]
@@ -70,3 +70,37 @@ def test_units_collapse(make):
     df = make(rows, "log_id bigint, message string, timestamp timestamp")
     got = dr.top_templates(dr.assign_templates(df)).collect()
     assert [(r["template"], r["count"]) for r in got] == [("took <*>", 4)]
+
+
+def test_a_hot_leaf_is_spread(spark):
+    """A leaf with four fifths of the distinct messages: sorts and joins deal it to many tasks."""
+    rows = spark.range(20_000).selectExpr(
+        "id AS log_id", "timestamp_micros(id) AS timestamp",
+        "concat(CASE WHEN id % 5 < 4 THEN 'get' ELSE concat('verb', char(97 + id % 26)) END, ' part ', char(97 + id % 7), char(97 + id % 11), ' k', hex(id), 'z') AS message",
+    )
+    messages = dr.with_leaf(rows).select("leaf", "masked", "tokens").distinct()
+    hot = messages.groupBy("leaf").count().orderBy("count", ascending=False).first()
+    assert hot["count"] > 15_000
+    assert messages.where(messages.leaf == hot["leaf"]).select(dr._salt(messages)).distinct().count() == dr.SALTS
+    pending = messages.selectExpr("*", "1L AS first_us", "masked AS first_tie")
+    heads = dr._heads(pending, 100)
+    assert heads.groupBy("leaf").count().agg({"count": "max"}).first()[0] == 100
+
+
+def test_full_matches_equal_all_pairs(spark):
+    rnd = random.Random(2)
+    words = lambda: [rnd.choice(["a", "b", WILD]) for _ in range(4)]
+    messages = {" ".join(w): w for w in (words() for _ in range(60))}
+    templates = [words() for _ in range(30)]
+    left = spark.createDataFrame([("l", m, w) for m, w in messages.items()], "leaf string, masked string, tokens array<string>")
+    right = spark.createDataFrame([("l", i, w) for i, w in enumerate(templates)] + [("other", 99, words())], "leaf string, ordinal int, template array<string>")
+    got = {(r.masked, r.ordinal) for r in dr.full_matches(left, right).collect()}
+    want = {
+        (m, i) for m, w in messages.items() for i, t in enumerate(templates) if all(x == y or WILD in (x, y) for x, y in zip(w, t))
+    }
+    assert got == want
+
+
+def test_no_limit_to_the_templates_of_a_leaf(make):
+    messages = [f"start {chr(97 + i // 26)}{chr(97 + i % 26)} q{chr(97 + i % 26)}{chr(97 + i // 26)}x {chr(98 + i % 20)}{chr(97 + i // 20)}y" for i in range(200)]
+    _check(make, messages, max_groups=None, round_size=50)

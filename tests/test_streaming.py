@@ -89,10 +89,23 @@ def test_incident_merger(spark, make, tmp_path):
 
 def test_streaming_templates_equal_batch(spark, make, tmp_path):
     src, out = str(tmp_path / "logs"), str(tmp_path / "out")
-    first, second = _rows(0, 40, message="job {} moved x"), _rows(40, 40, message="job done quickly {}")
-    for part in (first, second):
+    first, second, third = (_rows(0, 40, message="job {} moved x"), _rows(40, 40, message="job done quickly {}"), _rows(80, 40, message="job {} x y"))
+    for part in (first, second, third):
         stream = _stream(spark, make, src, part)
-        jobs.run_available(jobs.mine_templates(stream), str(tmp_path / "cp"), path=out)
-    got = {r["log_id"]: r["template_at"] for r in spark.read.parquet(out).collect()}
-    want = {r["log_id"]: r["template_at"] for r in dr.assign_templates(make(first + second, LOG)).collect()}
-    assert got == want
+        jobs.run_available(stream, str(tmp_path / "cp"), batch=jobs.template_sink(out))
+    rows = spark.read.parquet(f"{out}/template_rows")
+    got = {r["log_id"]: (r["leaf"], r["ordinal"], r["template_at"]) for r in rows.collect()}
+    whole, changes = dr.mined(make(first + second + third, LOG))
+    want = {r["log_id"]: (r["leaf"], r["ordinal"], r["template_at"]) for r in whole.collect()}
+    assert got == want and rows.count() == len(want)
+    last = spark.read.parquet(f"{out}/templates").where("batch = 2")
+    assert {(r.leaf, r.ordinal, tuple(r.template)) for r in last.collect()} == {
+        (r.leaf, r.ordinal, tuple(r.template)) for r in dr.current_templates(changes).collect()
+    }
+    # a batch that runs again leaves the same rows; a late row meets the templates of its batch
+    jobs.template_sink(out)(make(third, LOG), 2)
+    again = spark.read.parquet(f"{out}/template_rows")
+    assert {r["log_id"]: (r["leaf"], r["ordinal"], r["template_at"]) for r in again.collect()} == want
+    jobs.template_sink(out)(make([(*_rows(0, 1, message="job 7 x y")[0][:-1], 999)], LOG), 3)
+    late = spark.read.parquet(f"{out}/template_rows").where("log_id = 999").first()
+    assert late.template_at in {" ".join(r.template) for r in last.collect()}
