@@ -254,13 +254,13 @@ sess AS (SELECT *, max(CASE WHEN opens THEN minute END) OVER (PARTITION BY finge
                    ORDER BY minute, candidate_id) AS session_start FROM flag)"""
 
 
-@query(
-    "incident_sessions",
-    f"""WITH {_SESSION_SQL} SELECT fingerprint, service, environment, category, {q.ts('session_start')},
+INCIDENT_SESSIONS_SQL = f"""WITH {_SESSION_SQL} SELECT fingerprint, service, environment, category, {q.ts('session_start')},
         {q.ts('max(minute)', 'session_end')}, count(*) AS candidates, CAST(sum(signal_count) AS BIGINT) AS signal_count,
         round(max(anomaly_score), 6) AS max_score FROM sess GROUP BY fingerprint, service, environment, category,
-        sess.session_start""",
-)
+        sess.session_start"""
+
+
+@query("incident_sessions", INCIDENT_SESSIONS_SQL)
 def incident_sessions(spark, sf):
     rows = inc.incident_sessions(day_candidates(spark, sf), gap_minutes=3 * 1440)
     return rows.select(

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import functions as F
+
+from lumenlog.operators.incidents import INCIDENT_KEY
 from lumenlog.plans import sql as q
 from lumenlog.plans import views
+from lumenlog.plans.incident_plans import INCIDENT_SESSIONS_SQL
 from lumenlog.plans.registry import query, ts_text
 from lumenlog.plans.signal_plans import _BURST, _HISTORY, _LAX, _SPIKE, _anomaly_columns, day_candidates
-from lumenlog.schemas import ANOMALY_EVENTS, FINGERPRINT_CATALOG
+from lumenlog.schemas import ANOMALY_EVENTS
 from lumenlog.session import run_dir
 from lumenlog.streaming import jobs
 
@@ -52,24 +58,51 @@ def stream_anomalies(spark, sf):
         {q.ts('max(fp.timestamp)', 'last_seen')}, count(*) AS occurrence_count FROM fp GROUP BY fingerprint""",
 )
 def stream_catalog(spark, sf):
-    from lumenlog.operators.versioned import latest_by
-
     base = run_dir(spark, "stream-catalog")
     jobs.run_available(log_stream(spark, sf), f"{base}/checkpoint", batch=jobs.catalog_sink(base))
-    rows = jobs.read_table(spark, base, "fingerprint_catalog", FINGERPRINT_CATALOG)
-    return latest_by(rows, ["fingerprint"], "version").select(
-        "fingerprint", ts_text("first_seen"), ts_text("last_seen"), "occurrence_count"
-    )
+    return jobs.catalog_state(spark, base).select("fingerprint", ts_text("first_seen"), ts_text("last_seen"), "occurrence_count")
 
 
-@query("stream_incidents")
+@query(
+    "stream_catch_up",
+    f"""WITH {q.FINGERPRINTED}, late AS (SELECT * FROM fp WHERE fp.timestamp >= (SELECT max(timestamp) FROM logs) - INTERVAL 10 DAY)
+        SELECT fingerprint, {q.ts('min(late.timestamp)', 'first_seen')}, {q.ts('max(late.timestamp)', 'last_seen')},
+        count(*) AS occurrence_count FROM late GROUP BY fingerprint""",
+)
+def stream_catch_up(spark, sf):
+    """The catalog of a job that starts ten days back and catches up in batches of two files, with a restart between."""
+    base = run_dir(spark, "stream-catch-up")
+    logs = views.logs(spark, sf)
+    days = logs.repartitionByRange(12, "timestamp")
+    days.write.parquet(f"{base}/logs")
+    now = logs.agg(F.max("timestamp")).first()[0]
+    for _ in range(2):
+        start = jobs.first_start(spark, f"{base}/checkpoint", now, timedelta(days=10))
+        source = jobs.log_files(spark, f"{base}/logs", logs.schema, start=start, max_files=2)
+        jobs.run_available(source, f"{base}/checkpoint", batch=jobs.catalog_sink(base, every=3))
+    return jobs.catalog_state(spark, base).select("fingerprint", ts_text("first_seen"), ts_text("last_seen"), "occurrence_count")
+
+
+@query("stream_incidents", INCIDENT_SESSIONS_SQL)
 def stream_incidents(spark, sf):
+    """Incidents, open ones included, of a job that is started anew for each third of the candidates' time."""
     base = run_dir(spark, "stream-incidents")
-    day_candidates(spark, sf).write.parquet(f"{base}/candidates")
-    schema = spark.read.parquet(f"{base}/candidates").schema
-    source = spark.readStream.schema(schema).parquet(f"{base}/candidates")
-    jobs.run_available(jobs.merge_incidents(source, 3 * 1440), f"{base}/checkpoint", path=f"{base}/out")
-    return spark.read.schema(jobs.SESSION_SCHEMA).parquet(f"{base}/out")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    found = day_candidates(spark, sf)
+    found.write.parquet(f"{base}/found")
+    found = spark.read.parquet(f"{base}/found")
+    first, last = found.agg(F.min("start_time"), F.max("start_time")).first()
+    cuts = [] if first is None else [first + (last - first) / 3, first + (last - first) * 2 / 3]
+    for k in range(len(cuts) + 1):
+        after, until = ([None, *cuts][k], [*cuts, None][k])
+        part = found.where((F.lit(after is None) | (F.col("start_time") > F.lit(after))) & (F.lit(until is None) | (F.col("start_time") <= F.lit(until))))
+        part.write.mode("append").parquet(f"{base}/candidates")
+        source = jobs.log_files(spark, f"{base}/candidates", found.schema)
+        jobs.run_available(jobs.incident_lifecycle(source, gap_minutes=3 * 1440), f"{base}/checkpoint", path=f"{base}/out")
+    rows = jobs.latest_snapshots(spark.read.schema(jobs.SESSION_SCHEMA).parquet(f"{base}/out"))
+    return rows.select(
+        *INCIDENT_KEY, ts_text("session_start"), ts_text("session_end"), "candidates", "signal_count", F.round("max_score", 6).alias("max_score")
+    )
 
 
 @query("stream_templates")
