@@ -327,7 +327,7 @@ _ACTION = """CASE WHEN n % 2 = 1 AND {start} - last_seen <= INTERVAL 5 DAY THEN
         SELECT fingerprint, service, environment, category, severity,
           CASE action WHEN 'reopen' THEN 'reopened' ELSE 'open' END AS status,
           CASE action WHEN 'open' THEN service || ':' || category || ':' || first_severity || ' anomaly' ELSE 'known' END AS title,
-          CASE action WHEN 'open' THEN n_cand ELSE least(n_cand + 1, 50) END AS n_evidence,
+          CASE action WHEN 'open' THEN n_cand ELSE n_cand + 1 END AS n_evidence,
           round(CASE action WHEN 'open' THEN 1 ELSE 2 END * {RATE}
                 * CASE WHEN environment = 'prod' THEN 1.0 ELSE 0.4 END, 6) AS impact,
           last_candidate, CAST(last_count AS VARCHAR) AS last_count, CASE action WHEN 'open' THEN NULL ELSE '1' END AS custom FROM g""",

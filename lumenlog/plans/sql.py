@@ -34,7 +34,7 @@ def template(x: str) -> str:
         (rf"(^|[^{WORD}])\d+", r"\1<num>"),
         (r"\s+", " "),
     ]
-    return f"substr({_regex(lower_strip(x), rules)}, 1, 512)"
+    return _regex(lower_strip(x), rules)
 
 
 def legacy(x: str) -> str:
@@ -46,7 +46,7 @@ def legacy(x: str) -> str:
         (rf"(^|[^{WORD}])\d+($|[^{WORD}])", r"\1<n>\2"),
         (r"\s+", " "),
     ]
-    return f"substr({strip(_regex(f'lower({x})', rules))}, 1, 120)"
+    return strip(_regex(f"lower({x})", rules))
 
 
 def mask(x: str) -> str:

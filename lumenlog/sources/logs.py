@@ -67,7 +67,7 @@ def list_logs(
     """
     from lumenlog.functions.enrich import enrich
 
-    limit = max(1, min(limit, 1000))
+    limit = max(1, limit)
     order = [F.desc("timestamp"), *[F.desc(t) for t in ties]]
     rows = search(logs, **filters)
     if compat_limit_first:

@@ -31,9 +31,15 @@ def test_message_template(make):
     assert [r[0] for r in values(df, tx.message_template(F.col("m")))] == [t for _, t in rows]
 
 
-def test_template_is_cut(make):
-    df = make([("a " * 600,)], "m string")
-    assert values(df, F.length(tx.message_template(F.col("m"))))[0][0] == 512
+def test_texts_stay_whole_without_a_length(make):
+    long = "ab " * 600
+    df = make([(long + "x",), (long + "y",)], "m string")
+    for normal in (tx.message_template, tx.legacy_message):
+        text = normal(F.col("m"))
+        assert [r[0] for r in values(df, text)] == [long + "x", long + "y"]
+        prints = values(df, tx.fingerprint(text, F.lit("s"), F.lit("c")))
+        assert prints[0][0] != prints[1][0]
+        assert {r[0] for r in values(df, normal(F.col("m"), 120))} == {long[:120]}
 
 
 def test_fingerprint(make):
