@@ -25,6 +25,50 @@ def test_hot_templates(make):
         ("12", 1, "slow query <*>", 0, 7), ("12", 2, "pool exhausted at node <*> now", 0, 4),
     ]
 
+def test_cutoffs_are_exact(make):
+    rows = [("db", "error", "error", 200, f"disk full {i}", f"2024-01-01 10:00:00.{i}00000", i) for i in range(1, 8)]
+    rows += [("db", "error", "error", 200, "link down", "2024-01-01 10:00:00.600000", 20), ("db", "error", "error", 200, "link down", "2024-01-01 09:00:00", 21)]
+    wanted = make([("db", "2024-01-01 10:00:00.500000"), ("db", "2024-01-01 10:00:00.600000"), ("db", None)], "service string, cutoff timestamp")
+    got = rca.hot_templates(make(rows, LOG), wanted).collect()
+    found = {(r["cutoff"] and r["cutoff"].microsecond, r["template"]): (r["hot"], r["base"]) for r in got}
+    assert found == {
+        (500_000, "disk full <*>"): (3, 4), (500_000, "link down"): (1, 1), (600_000, "disk full <*>"): (2, 5),
+        (600_000, "link down"): (1, 1), (None, "disk full <*>"): (7, 0), (None, "link down"): (2, 0),
+    }
+
+
+def _reports(make, hours=None):
+    incidents = make(
+        [("i1", "f1", "db", "database", "2024-01-02 10:00:00"), ("i2", "f2", "web", "network", "2024-01-02 10:00:00")],
+        "incident_id string, fingerprint string, service string, category string, opened_at timestamp",
+    )
+    logs = [("db", "error", "error", 200, f"disk full {i}", f"2024-01-02 10:{i:02d}:00", i) for i in range(5)]
+    logs += [("web", "error", "error", 500, "refused by peer", "2024-01-02 10:01:00", 50)]
+    logs += [("web", "info", "info", 200, f"served {i} pages", f"2024-01-01 10:{i:02d}:00", 100 + i) for i in range(9)]
+    anomalies = make(
+        [("db", "database", "error", "2024-01-02 09:30:00", 9, 4.0), ("web", "network", "error", "2024-01-01 09:00:00", 9, 7.0)],
+        "service string, category string, severity string, window timestamp, count long, z double",
+    )
+    edges = make([("a", "b", 3)], "src string, dst string, weight long").limit(0)
+    slo = make([("db", "page")], "service string, alert_level string")
+    now = F.lit("2024-01-02 11:00:00").cast("timestamp")
+    reports = rca.rca_report(incidents, make(logs, LOG), anomalies, edges, slo, now, hours)
+    return reports, rca.rca_timeline(reports, anomalies, hours)
+
+
+def test_thin_evidence_gives_the_most_frequent_templates(make):
+    reports, lines = _reports(make)
+    got = {r["incident_id"]: r["evidence_templates"] for r in reports.collect()}
+    assert got == {"i1": ["disk full <*>"], "i2": ["served <*> pages", "disk full <*>", "refused by peer"]}
+    assert lines.count() == 4
+
+
+def test_reports_look_back(make):
+    reports, lines = _reports(make, hours=6)
+    got = {r["incident_id"]: (r["evidence_templates"], r["anomaly_score"], sorted(r["affected_services"])) for r in reports.collect()}
+    assert got == {"i1": (["disk full <*>"], 4.0, ["db"]), "i2": (["disk full <*>", "refused by peer"], 4.0, ["db", "web"])}
+    assert sorted((r["incident_id"], r["service"]) for r in lines.collect()) == [("i1", "db"), ("i2", "db")]
+
 
 def _nodes():
     rows = [  # tree, weight, id, prediction, cover, left, right, feature, threshold
