@@ -1,5 +1,7 @@
 """Operators on small inputs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,27 @@ def test_transitions(make):
     assert out["events"].count() == 3
 
 
+def test_transitions_of_a_hot_incident(spark):
+    draw = random.Random(5)
+    names = [*inc.STATUSES, "closed", None]
+    rows = [("hot", k, draw.choice(names), draw.randrange(3_000_000_000)) for k in range(20_000)]
+    rows += [(f"i{k % 40}", 20_000 + k, draw.choice(names), draw.randrange(40) * 1_800_000_000) for k in range(400)]
+    rows += [("odd", 30_000, "resolved", 5), ("odd", 30_001, "reopened", None)]
+    asked = spark.createDataFrame(rows, "incident_id string, request_id int, next_status string, us long").select(
+        "incident_id", "request_id", "next_status", F.lit("a").alias("actor"), F.lit(None).cast("string").alias("note"),
+        F.timestamp_micros("us").alias("requested_at"),
+    )
+    base = {"hot": "open", "odd": "resolved", **{f"i{k}": inc.STATUSES[k % 5] for k in range(40)}}
+    latest = spark.createDataFrame(list(base.items()), "incident_id string, status string")
+    want, state = {}, dict(base)
+    for incident, request, wanted, _ in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[1])):
+        want[request] = state[incident]
+        if wanted in inc.TRANSITIONS[state[incident]]:
+            state[incident] = wanted
+    got = {r["request_id"]: r["from_status"] for r in inc.transition_outcomes(asked, latest).collect()}
+    assert got == want
+
+
 def test_sessions(make):
     rows = [("f", "s", "e", "c", f"c{i}", minute(m), minute(m), 1, float(m)) for i, m in enumerate((0, 20, 45, 120))]
     df = make(rows, "fingerprint string, service string, environment string, category string, candidate_id string, start_time timestamp, end_time timestamp, signal_count int, anomaly_score double")
