@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on their own input, and on odd tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lumenlog.llm import byte_pairs, decontamination, quality_classifier, quality_rules, simhash
 
@@ -60,3 +62,22 @@ def test_rows_without_id_and_with_a_repeated_one_are_decided_alone(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     clean = [tuple(r) for r in stage["decontamination"](spark, docs, DIR).collect()]
     assert sorted(clean, key=str) == sorted([(None, own[0]), (7, own[1]), (None, None)], key=str)
+
+
+def test_columns_named_like_a_stages_own_and_very_long_texts(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    long = " ".join(f"word{k % 5000} of a long text" for k in range(60_000))
+    row = docs.first().asDict() | {"doc_id": 10**9, "text": long}
+    docs = docs.unionByName(spark.createDataFrame([row], docs.schema))
+    names = ["__row", "__rows", "__score", "__kept", "__n_words", "___row"]
+    marked = docs
+    for name in names:
+        marked = marked.withColumn(name, F.concat(F.lit(f"mine {name} "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, marked, DIR)
+        assert out.columns == marked.columns
+        kept = out.collect()
+        assert kept
+        assert all(r[n] == f"mine {n} {r.doc_id}" for r in kept for n in names)
+        assert {(r.doc_id, r.text) for r in kept} == texts(stage(spark, docs, DIR))
+    assert next(r for r in corpus_pipeline.encode(spark, marked, DIR).collect() if r.doc_id == 10**9).n_tokens > 60_000
