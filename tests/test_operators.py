@@ -367,3 +367,19 @@ def test_small_gains_do_not_stop_the_boosting(spark):
     labelled = ft.join_labels(risk_plans._features(spark, dir), risk_plans._labels(spark, dir))
     model, _ = risk.train(labelled, rounds=3, depth=2)
     assert model.getNumTrees > 1 and model.getOrDefault("validationTol") == 0
+
+
+@pytest.mark.parametrize("limit", [None, 50])
+def test_all_candidates_are_evidence(spark, limit):
+    start = "timestamp'2024-01-01 10:00:00' + make_dt_interval(0, 0, 0, id)"
+    candidates = spark.range(60).selectExpr(
+        "concat('c', lpad(id, 2, '0')) AS candidate_id", "CAST(NULL AS STRING) AS incident_id", "'f' AS fingerprint", "'s' AS service",
+        "'prod' AS environment", "'c' AS category", "'error' AS severity", "'m' AS normalized_message", f"{start} AS start_time",
+        f"{start} AS end_time", "1L AS signal_count", "1.0D AS anomaly_score", "array('t') AS trace_ids", "array('x') AS source_signals",
+        "'new' AS status", f"{start} AS created_at", f"{start} AS updated_at",
+    )
+    latest = spark.createDataFrame([], inc.INCIDENTS)
+    burn = spark.createDataFrame([], "service string, environment string, burn_rate_5m double, burn_rate_1h double, burn_rate_6h double")
+    now = ref_column("2024-01-02 00:00:00")
+    [row] = inc.correlate_candidates(candidates, latest, burn, now, evidence_limit=limit)["snapshots"].collect()
+    assert row["evidence"] == [f"c{k:02d}" for k in range(60)][-(limit or 60) :]
