@@ -193,6 +193,28 @@ def test_similar_to_recent_matches_brute_force(make, monkeypatch, pool_size):
         assert sorted(got[source]) == want
 
 
+@pytest.mark.parametrize("common", [0, 3, 1000])
+def test_titles_with_rare_words_match_brute_force(make, monkeypatch, common):
+    monkeypatch.setattr(sim, "COMMON", common)
+    blocks = []
+    compare = sim._near_classes
+    monkeypatch.setattr(sim, "_near_classes", lambda kinds, pool, *rest: blocks.append(kinds.count()) or compare(kinds, pool, *rest))
+    draw = random.Random(4)
+    rows = [
+        (f"i{n:02d}", f"s{n % 2}", "c", draw.choice(["info", "error"]), "prod", f"{draw.randrange(4):x}{n:015x}" if n % 9 else None,
+         None if n == 5 else f"case{n} of host{n // 3} {draw.choice(['down', 'slow', 'disk down'])}", minute(n))
+        for n in range(60)
+    ]
+    df = make(rows, INCIDENT)
+    got = {}
+    for r in sim.similar_to_recent(df, k=3).collect():
+        got.setdefault(r["incident_id"], []).append((r["rank"], r["similar_id"], round(r["score"], 6)))
+    for n in (0, 5, 17, 35, 59):
+        want = [(i + 1, r["incident_id"], round(r["score"], 6)) for i, r in enumerate(sim.similar_to(df, f"i{n:02d}", k=3).collect())]
+        assert sorted(got[f"i{n:02d}"]) == want
+    assert common != 3 or blocks[0] < 30  # not the 60 distinct titles
+
+
 def test_transitions(make):
     latest = make([("i", "resolved"), ("j", "open")], "incident_id string, status string")
     asked = make(
