@@ -36,11 +36,14 @@ class Ranks:
         self.tokens = [b""] * (max(self.ids.values()) + 1)
         for token, rank in self.ids.items():
             self.tokens[rank] = token
-        # by last byte, the lengths that tokens ending so have, longest first
-        ends: dict[int, set[int]] = {}
+        # by the last one, two or three bytes, the lengths that tokens ending so have, longest first
+        ends: dict[bytes, set[int]] = {}
         for token in self.ids:
-            ends.setdefault(token[-1], set()).add(len(token))
-        self.lengths = {byte: sorted(found, reverse=True) for byte, found in ends.items()}
+            for tail in {token[-1:], token[-2:], token[-3:]}:
+                ends.setdefault(tail, set()).add(len(token))
+        for tail, found in ends.items():  # tokens shorter than the bytes looked at
+            found.update(n for n in range(1, len(tail)) if tail[-n:] in self.ids)
+        self.lengths = {tail: sorted(found, reverse=True) for tail, found in ends.items()}
         self.pairs = Bounded(None, KEPT, 0)
         self.last = Bounded(None, KEPT, 0)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
@@ -49,16 +52,20 @@ class Ranks:
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding of a short byte string by its definition: the lowest-ranked pair is merged, leftmost first."""
+        get, none = self.ids.get, len(self.tokens)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, 0
-            for i in range(len(parts) - 1):
-                rank = self.ids.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+        ranks = [get(x + y, none) for x, y in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], none)
         return [self.ids[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
@@ -71,9 +78,17 @@ class Ranks:
             self.pairs.keep(key, known)
         return known
 
+    def lengths_at(self, data: bytes, end: int) -> list[int]:
+        """The lengths that a last token of ``data[:end]`` may have, longest first, by its last three bytes."""
+        for n in (3, 2, 1):
+            found = self.lengths.get(data[max(end - n, 0) : end])
+            if found is not None:
+                return found
+        return []
+
     def last_token(self, data: bytes, end: int, before: list[int]) -> int:
         """The last token of ``data[:end]``, given those of all shorter prefixes."""
-        for length in self.lengths[data[end - 1]]:
+        for length in self.lengths_at(data, end):
             if length <= end:
                 token = self.ids.get(data[end - length : end])
                 if token is not None and self.follows(before[end - length], token):
@@ -99,16 +114,14 @@ class Ranks:
         kept = self.last
         if len(data) > 64:  # a long piece has its own table
             return self.walk(self.extend(data, [-1]))
-        known = len(data)
-        while known and data[:known] not in kept:
-            known -= 1
         last = [-1]
-        for n in range(1, known + 1):  # a kept prefix may have lost a shorter one
-            found = kept.get(data[:n])
-            last.append(self.last_token(data, n, last) if found is None else found)
-        self.extend(data, last)
-        for n in range(known + 1, len(data) + 1):
-            kept.keep(data[:n], last[n])
+        for n in range(1, len(data) + 1):
+            prefix = data[:n]
+            found = kept.get(prefix)
+            if found is None:
+                found = self.last_token(data, n, last)
+                kept.keep(prefix, found)
+            last.append(found)
         return self.walk(last)
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -467,3 +467,22 @@ def test_mixture_weights_rise_with_the_likelihood():
 
     best = max(likelihood((max(1 - a - b, 0), a, b)) for a in np.arange(0, 1.001, 0.01) for b in np.arange(0, 1.001 - a, 0.01))
     assert likelihood(weights[3]) > best - 0.2
+
+
+def test_last_tokens_try_few_lengths():
+    ranks = byte_pairs.ranks_of(public_tokenizers.path(queries.MULTI_BPE))
+    data = "unbelievably long-winded explanations of Größenordnungen".encode()
+    for end in range(1, len(data) + 1):
+        fitting = {n for n in range(1, end + 1) if data[end - n : end] in ranks.ids}
+        tried = [n for n in ranks.lengths_at(data, end) if n <= end]
+        assert fitting <= set(tried) and tried == sorted(tried, reverse=True)
+    asked = sum(len(ranks.lengths_at(data, end)) for end in range(1, len(data) + 1))
+    by_byte = sum(len({len(t) for t in ranks.ids if t[-1] == byte}) for byte in data)
+    assert 2 * asked < by_byte
+
+
+def test_pieces_are_spelt_as_the_library_spells_them():
+    own = token_files.coder(public_tokenizers.path(queries.BYTE_BPE))
+    library = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
+    for text in [" plain", "~", "tab\tand\x7f and \x00", " é", "\u00a0x", "a  b \n", "".join(map(chr, range(1, 400)))]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
