@@ -88,7 +88,10 @@ class TextCoder:
         tokenize = tokenizer.model.tokenize  # of one piece, spelt in the byte alphabet
 
         def piece(text: str) -> bytes:
-            spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
+            if text.isascii() and text.isprintable():  # of these bytes only the space is spelt otherwise
+                spelt = text.replace(" ", ALPHABET[32])
+            else:
+                spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
             return np.array([token.id for token in tokenize(spelt)], "<u4").tobytes()
 
         added = tokenizer.get_added_tokens_decoder()
@@ -144,7 +147,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int = END) -> str:
 
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("deal"))
-    ordered = keyed.repartitionByRange("doc_id", "deal").sortWithinPartitions("doc_id", "deal", "text")
+    # with a number, so that small partitions are not put together again
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.repartitionByRange(tasks, "doc_id", "deal").sortWithinPartitions("doc_id", "deal", "text")
     ordered.select("doc_id", "text").mapInPandas(run, SCHEMA).write.option("compression", "zstd").parquet(path)
     return path
 
