@@ -17,6 +17,8 @@ its own words there and no others. Leaves are salted, so one that holds most row
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +30,10 @@ from lumenlog.session import checkpointed
 SIMILARITY = 0.5
 MAX_GROUPS = 128
 ROUND_SIZE = 5_000
-#: Tasks that one leaf is spread over in sorts and joins.
-SALTS = 32
+#: Messages of a task's group of leaves, about.
+GROUP = 1_000
+#: Tasks that one leaf is spread over in sorts and joins, and distinct messages from which on it is in joins.
+SALTS, SPREAD = 32, 1_000
 
 
 def with_leaf(logs: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -71,33 +75,33 @@ def full_matches(messages: DataFrame, templates: DataFrame) -> DataFrame:
 
     The shapes of a leaf, not its messages, are paired; a pair of shapes says which positions must agree.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    asked = messages.withColumn("_own", _open(F.col("tokens"))).select("*", _salt(messages))
+    counts = messages.groupBy("leaf").agg(F.when(F.count(F.lit(1)) > SPREAD, SALTS).otherwise(1).alias("_salts"))
+    salts = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+    asked = messages.join(counts, "leaf").withColumn("_own", _open(F.col("tokens"))).withColumn("_salt", F.pmod(F.xxhash64("masked"), "_salts").cast("int"))
     held = templates.withColumn("_free", _open(F.col("template")))
-    shapes = asked.select("leaf", "_own").distinct().join(held.select("leaf", "_free").distinct(), "leaf")
-    asked = asked.join(shapes.select("*", salts), ["leaf", "_own", "_salt"]).withColumn("_words", _closed(F.col("tokens"), "_own", "_free"))
-    held = held.join(shapes, ["leaf", "_free"]).withColumn("_words", _closed(F.col("template"), "_own", "_free")).select("*", salts)
+    shapes = asked.select("leaf", "_own", "_salts").distinct().join(held.select("leaf", "_free").distinct(), "leaf")
+    asked = asked.drop("_salts").join(shapes.select("leaf", "_own", "_free", salts), ["leaf", "_own", "_salt"]).withColumn("_words", _closed(F.col("tokens"), "_own", "_free"))
+    held = held.join(shapes, ["leaf", "_free"]).withColumn("_words", _closed(F.col("template"), "_own", "_free")).select("*", salts).drop("_salts")
     return asked.join(held, ["leaf", "_own", "_free", "_words", "_salt"]).drop("_own", "_free", "_words", "_salt")
 
 
 def _learner(similarity: float, max_groups: int | None):
-    """Pandas function: ordered distinct messages of one leaf to its template changes."""
+    """Pandas function: distinct messages of some leaves, and the templates known there, to the leaves' template changes."""
 
-    def learn(key: tuple, messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def leaf_changes(leaf: str, messages: list[tuple], known: list) -> list[tuple]:
         codes: dict[str, int] = {WILDCARD: 0}
 
         def encode(words) -> np.ndarray:
             return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
 
-        known = [encode(t) for t in known.sort_values("ordinal")["template"]]
-        messages = messages.sort_values(["first_us", "first_tie"])
-        length = len(known[0]) if known else (len(messages["tokens"].iloc[0]) if len(messages) else 0)
-        table = np.zeros((max(16, 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
+        known = [encode(t) for t in known]
+        length = len(known[0]) if known else len(messages[0][2])
+        table = np.zeros((max(16 if len(messages) > 16 else len(messages), 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
         size = len(known)
         if known:
             table[:size] = np.stack(known)
         changes = []
-        for us, tie, words in zip(messages["first_us"], messages["first_tie"], messages["tokens"]):
+        for us, tie, words in messages:
             row = encode(words)
             best, share = -1, -1.0
             if size:
@@ -116,16 +120,20 @@ def _learner(similarity: float, max_groups: int | None):
                 table[best] = np.where((table[best] == row) | (row == 0), table[best], 0)
             changes.append((us, tie, best, table[best].copy()))
         words_of = list(codes)
-        return pd.DataFrame(
-            {
-                # Plain object columns: a group may have no changes at all.
-                "leaf": pd.Series([key[0]] * len(changes), dtype=object),
-                "since_us": pd.Series([c[0] for c in changes], dtype="int64"),
-                "since_tie": pd.Series([c[1] for c in changes], dtype=object),
-                "ordinal": pd.Series([c[2] for c in changes], dtype="int32"),
-                "template": pd.Series([[words_of[i] for i in c[3]] for c in changes], dtype=object),
-            }
-        )
+        return [(leaf, us, tie, best, [words_of[i] for i in codes_]) for us, tie, best, codes_ in changes]
+
+    def learn(messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        held: dict[str, list] = {}
+        for leaf, template in known.sort_values(["leaf", "ordinal"])[["leaf", "template"]].itertuples(index=False):
+            held.setdefault(leaf, []).append(template)
+        asked: dict[str, list[tuple]] = {}
+        rows = messages.sort_values(["first_us", "first_tie"])[["leaf", "first_us", "first_tie", "tokens"]]
+        for leaf, *row in rows.itertuples(index=False):
+            asked.setdefault(leaf, []).append(tuple(row))
+        changes = [c for leaf, mine in asked.items() for c in leaf_changes(leaf, mine, held.get(leaf, []))]
+        kinds = {"leaf": object, "since_us": "int64", "since_tie": object, "ordinal": "int32", "template": object}
+        # Plain object columns: there may be no changes at all.
+        return pd.DataFrame({name: pd.Series([c[k] for c in changes], dtype=kind) for k, (name, kind) in enumerate(kinds.items())})
 
     return learn
 
@@ -163,11 +171,15 @@ def learn_templates(
     changes = spark.createDataFrame([], schema) if known is None else known.select("leaf", "since_us", F.col("since_tie").cast(tie_type), "ordinal", "template")
     pending = checkpointed(pending if known is None else _uncovered(pending, current_templates(changes)))
     while True:
-        largest = pending.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        counts = pending.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+        largest, held = counts.agg(F.max("n"), F.sum(F.least("n", F.lit(round_size)))).first()
         if not largest:
             return changes
         batch = _heads(pending, round_size)
-        new = batch.groupBy("leaf").cogroup(current_templates(changes).groupBy("leaf")).applyInPandas(learn, schema)
+        # many leaves have a few messages only, so a group has about a round of messages, not one leaf
+        deal = F.pmod(F.xxhash64("leaf"), F.lit(math.ceil(held / min(round_size, GROUP)))).alias("deal")
+        known_there = current_templates(changes).join(batch.select("leaf").distinct(), "leaf", "left_semi")
+        new = batch.groupBy(deal).cogroup(known_there.groupBy(deal)).applyInPandas(learn, schema)
         changes = checkpointed(changes.unionByName(new))
         if largest <= round_size:
             return changes

@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from lumenlog.operators import drain as dr
 
 WILD = "<*>"
@@ -104,3 +106,21 @@ def test_full_matches_equal_all_pairs(spark):
 def test_no_limit_to_the_templates_of_a_leaf(make):
     messages = [f"start {chr(97 + i // 26)}{chr(97 + i % 26)} q{chr(97 + i % 26)}{chr(97 + i // 26)}x {chr(98 + i % 20)}{chr(97 + i // 20)}y" for i in range(200)]
     _check(make, messages, max_groups=None, round_size=50)
+
+
+def test_a_task_learns_many_leaves():
+    """Each leaf as if it were alone, though one call gets messages and known templates of several."""
+    rows = [("x", 1, 1, ["a", "b", "c"]), ("y", 2, 2, ["a", "b"]), ("x", 3, 3, ["a", "b", "d"]), ("y", 4, 4, ["k", "z"]), ("z", 5, 5, ["o"])]
+    messages = pd.DataFrame(rows, columns=["leaf", "first_us", "first_tie", "tokens"])
+    known = pd.DataFrame([("y", 0, ["a", "b"])], columns=["leaf", "ordinal", "template"])
+    learn = dr._learner(0.6, 128)
+    got = sorted((r.leaf, r.since_us, r.ordinal, list(r.template)) for r in learn(messages, known).itertuples())
+    assert got == [("x", 1, 0, ["a", "b", "c"]), ("x", 3, 0, ["a", "b", WILD]), ("y", 4, 1, ["k", "z"]), ("z", 5, 0, ["o"])]
+
+
+def test_matches_are_the_same_spread_or_not(spark, monkeypatch):
+    left = spark.createDataFrame([(f"l{k}", f"m{k}", ["m", str(k)]) for k in range(50)], "leaf string, masked string, tokens array<string>")
+    right = left.selectExpr("leaf", "0 AS ordinal", "tokens AS template")
+    for spread in (0, 1_000):
+        monkeypatch.setattr(dr, "SPREAD", spread)
+        assert sorted(r.leaf for r in dr.full_matches(left, right).collect()) == sorted(f"l{k}" for k in range(50))
