@@ -9,6 +9,7 @@ from lumenlog.functions.enrich import with_dimensions
 from lumenlog.functions.ids import anomaly_id, deterministic_id, iso_utc, signal_id
 from lumenlog.operators.stats import CONSISTENCY, median_mad, robust_z
 from lumenlog.schemas import SIGNAL_DIMS
+from lumenlog.session import checkpointed
 
 SERIES = ["service", "category", "severity"]
 DETECTOR_DIMS = ["service", "environment", "category", "severity"]
@@ -195,6 +196,7 @@ def detector_signals(enriched: DataFrame, bucket: str = "minute") -> DataFrame:
 
 def score_signals(signals: DataFrame, threshold: float = 3.5) -> DataFrame:
     """Robust z of each signal against all signals of its dimension."""
+    signals = checkpointed(signals)  # read twice: for the medians and the result
     base = median_mad(signals, DETECTOR_DIMS, "signal_count").select(*DETECTOR_DIMS, "median", "mad")
     z = robust_z(F.col("signal_count"), F.col("median"), F.col("mad"))
     return (

@@ -405,3 +405,18 @@ def test_all_candidates_are_evidence(spark, limit):
     now = ref_column("2024-01-02 00:00:00")
     [row] = inc.correlate_candidates(candidates, latest, burn, now, evidence_limit=limit)["snapshots"].collect()
     assert row["evidence"] == [f"c{k:02d}" for k in range(60)][-(limit or 60) :]
+
+
+def test_scoring_makes_the_signals_once(spark, make):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(n):
+        made.add(1)
+        return n
+
+    rows = [(minute(i), "api", "prod", "database", "error", f"f{i}", "text", c, "") for i, c in enumerate([2, 3, 2, 4, 3, 90])]
+    names = "minute timestamp, service string, environment string, category string, severity string, fingerprint string, normalized_message string, signal_count bigint, trace_sample string"
+    signals = make(rows, names).withColumn("signal_count", F.udf(count, "bigint")("signal_count"))
+    got = an.score_signals(signals, threshold=3.5).where("is_anomaly").collect()
+    assert [r.signal_count for r in got] == [90]
+    assert made.value == len(rows)
