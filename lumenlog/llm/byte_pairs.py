@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,7 +47,8 @@ class Ranks:
         self.lengths = {tail: sorted(found, reverse=True) for tail, found in ends.items()}
         self.pairs = Bounded(None, KEPT, 0)
         self.last = Bounded(None, KEPT, 0)
-        sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.lens = [len(t) for t in self.tokens]
+        sizes = np.array(self.lens, np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
@@ -109,20 +111,46 @@ class Ranks:
             at -= len(self.tokens[last[at]])
         return out[::-1]
 
+    def asked(self, data: bytes, end: int, last: list[int | None]) -> int:
+        """The last token of ``data[:end]``; of shorter prefixes, only those it rests on are worked out into ``last``."""
+        prefix = data[:end]
+        found = self.last.get(prefix)
+        if found is None:
+            ids, pairs = self.ids, self.pairs
+            for length in self.lengths_at(data, end):
+                if length > end:
+                    continue
+                start = end - length
+                token = ids.get(data[start:end])
+                if token is None:
+                    continue
+                left = last[start]
+                if left is None:
+                    left = self.asked(data, start, last)
+                fits = pairs.get((left + 1) << 32 | token)
+                if self.follows(left, token) if fits is None else fits:
+                    found = token
+                    break
+            else:
+                raise ValueError("no token for a byte")
+            self.last.keep(prefix, found)
+        last[end] = found
+        return found
+
     def encode_piece(self, data: bytes) -> list[int]:
-        """The encoding of one piece; prefixes seen before are not worked out again."""
-        kept = self.last
+        """The encoding of one piece; prefixes seen before are not worked out again, and those nothing rests on never."""
         if len(data) > 64:  # a long piece has its own table
             return self.walk(self.extend(data, [-1]))
-        last = [-1]
-        for n in range(1, len(data) + 1):
-            prefix = data[:n]
-            found = kept.get(prefix)
-            if found is None:
-                found = self.last_token(data, n, last)
-                kept.keep(prefix, found)
-            last.append(found)
-        return self.walk(last)
+        out, at = [], len(data)
+        last: list[int | None] = [-1, *[None] * at]
+        sizes = self.lens
+        while at:
+            token = last[at]
+            if token is None:
+                token = self.asked(data, at, last)
+            out.append(token)
+            at -= sizes[token]
+        return out[::-1]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids: each output byte is looked up in the joined tokens."""
@@ -163,7 +191,8 @@ def coder(path: str, pattern: str) -> PieceCoder:
     ranks = ranks_of(path)
 
     def piece(text: str) -> bytes:
-        return np.array(ranks.encode_piece(text.encode("utf-8", "replace")), "<u4").tobytes()
+        ids = ranks.encode_piece(text.encode("utf-8", "replace"))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     return PieceCoder(pattern, piece)
 

@@ -481,6 +481,15 @@ def test_last_tokens_try_few_lengths():
     assert 2 * asked < by_byte
 
 
+def test_only_prefixes_that_a_piece_rests_on_are_worked_out():
+    ranks = byte_pairs.Ranks(public_tokenizers.path(queries.MULTI_BPE))
+    found = [" ofthwhwhedqueesqueesja", " lañcociesèêétre", " Größenordnungslos", "4130383451285691", "\n\n\t", "ß", ""]
+    whole = [ranks.walk(ranks.extend(x.encode(), [-1])) for x in found]
+    assert [ranks.encode_piece(x.encode()) for x in found] == whole  # each prefix met first
+    assert len(ranks.last) * 4 < sum(len(x.encode()) for x in found) * 3
+    assert [ranks.encode_piece(x.encode()) for x in found] == whole == [ranks.merged(x.encode()) for x in found]
+
+
 def test_pieces_are_spelt_as_the_library_spells_them():
     own = token_files.coder(public_tokenizers.path(queries.BYTE_BPE))
     library = Tokenizer.from_file(public_tokenizers.path(queries.BYTE_BPE))
