@@ -5,6 +5,9 @@ rotation keeps that. Rotated vectors are cut into blocks; in at least one block
 more than the block's share of that distance. So each block is range-joined under its share alone, and the union
 of what the blocks find is verified on the given components in double precision. Nothing is missed.
 
+By default one block has all dimensions: its boxes are bound by the whole distance, vectors go to the tasks once and
+not once a block, and a product of 32 bits decides all pairs but those close to the bound.
+
 The rotation flips signs and applies a Walsh-Hadamard transform, which spreads the distance evenly over blocks and
 only adds and subtracts, so that every task gets the same bits.
 
@@ -27,15 +30,15 @@ from lumenlog.llm.common import stored
 from lumenlog.llm.simhash import components
 
 COSINE = 0.9
-#: Dimensions of a block.
-BLOCK = 16
+#: Dimensions of a block, at most: all that a vector has, unless it is very long.
+BLOCK = 1 << 16
 #: Vectors of one side of a task, at most about.
 CHUNK = 8192
 #: Vectors that the tree is fitted on, at most, and its leaves at most.
 SAMPLE = 50_000
 MAX_LEAVES = 1024
-#: Comparisons made at once.
-AREA = 1 << 21
+#: Comparisons made at once; their products fit a core's cache.
+AREA = 1 << 18
 #: Room for the rounding of 32-bit products of unit vectors, far above it.
 SLACK = 1e-4
 _EXACT = 1e-9
@@ -118,7 +121,7 @@ class Trees:
 
 
 def tiled(nodes: DataFrame, trees: Trees) -> DataFrame:
-    """(key, length, b, tile): the tile of each node in each block, and boxes of the batch's tiles in ``low`` and ``high``."""
+    """(key, length, b, tile): the tile of each node in each block; one row of each tile of a batch has its box in ``low`` and ``high``, and its size."""
     shared = nodes.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,13 +134,24 @@ def tiled(nodes: DataFrame, trees: Trees) -> DataFrame:
                     leaf = forest.leaf(length, b, part)
                     out = pd.DataFrame({"key": rows["key"].to_numpy(), "length": length, "b": b, "tile": leaf})
                     first = ~out["tile"].duplicated().to_numpy()
-                    lows, highs = [None] * len(out), [None] * len(out)
+                    lows, highs, sizes = [None] * len(out), [None] * len(out), [None] * len(out)
                     for i in np.flatnonzero(first):
                         inside = part[leaf == leaf[i]]
-                        lows[i], highs[i] = inside.min(axis=0).tolist(), inside.max(axis=0).tolist()
-                    yield out.assign(low=lows, high=highs)
+                        lows[i], highs[i], sizes[i] = inside.min(axis=0).tolist(), inside.max(axis=0).tolist(), len(inside)
+                    yield out.assign(low=lows, high=highs, n=pd.array(sizes, "Int64"))
+
+    return nodes.select("key", "raw").mapInPandas(run, "key binary, length int, b int, tile int, low array<float>, high array<float>, n long")
+
+
+def boxes(places: DataFrame) -> DataFrame:
+    """(length, b, tile, n, low, high): the size and the box of each tile, from those of its batches."""
+
+    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = np.stack(list(rows["low"])).min(axis=0), np.stack(list(rows["high"])).max(axis=0)
+        return pd.DataFrame([[*key, int(rows["n"].sum()), low, high]], columns=["length", "b", "tile", "n", "low", "high"])
 
-    return nodes.select("key", "raw").mapInPandas(run, "key binary, length int, b int, tile int, low array<float>, high array<float>")
+    some = places.where("n is not null").select("length", "b", "tile", "n", "low", "high")
+    return some.groupBy("length", "b", "tile").applyInPandas(merge, "length int, b int, tile int, n long, low array<float>, high array<float>")
 
 
 def share(length: int, b: int, block: int, limit: float) -> float:
@@ -151,12 +165,8 @@ def meetings(places: DataFrame, chunk: int, block: int, limit: float) -> tuple[D
 
     There are at most MAX_LEAVES tiles a block; only these, not the vectors, are paired here.
     """
-    least = [F.min(F.get("low", F.lit(i))).alias(f"l{i}") for i in range(block)]
-    most = [F.max(F.get("high", F.lit(i))).alias(f"h{i}") for i in range(block)]
-    tiles = places.groupBy("length", "b", "tile").agg(F.count("*").alias("n"), *least, *most)
-    size = F.array(*(f"l{i}" for i in range(block))), F.array(*(f"h{i}" for i in range(block)))
-    tiles = tiles.select("length", "b", "tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), size[0].alias("low"), size[1].alias("high"))
-    tiles = stored(tiles.coalesce(1), "vector-tiles")
+    tiles = boxes(places).select("length", "b", "tile", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"), "low", "high")
+    tiles = stored(tiles, "vector-tiles")
     left = tiles.withColumnsRenamed({"tile": "x", "chunks": "cx", "low": "lx", "high": "hx"})
     right = tiles.withColumnsRenamed({"tile": "y", "chunks": "cy", "low": "ly", "high": "hy"})
     gaps = F.transform(
@@ -200,9 +210,13 @@ class Comparison:
         self.vectors = unpacked(raw)
         self.units = units(self.vectors)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
-        self.rotated = rotate(self.units)
         self.cosine, self.b = cosine, b
         length = self.vectors.shape[1] * 8
+        self.whole = share(length, 0, block, 1.0) == 1  # one block, to which every link belongs
+        if self.whole:
+            self.single = self.units.astype(np.float32)
+            return
+        self.rotated = rotate(self.units)
         self.blocks = [slice(c * block, (c + 1) * block) for c in range(b + 1)]
         self.shares = [share(length, c, block, 2 - 2 * cosine) for c in range(b + 1)]
         self.single = self.rotated[:, : (b + 1) * block].astype(np.float32)
@@ -216,6 +230,8 @@ class Comparison:
         """Whether pairs link and belong to the block, each decided from the same sums in every task."""
         x, y = self.vectors[i], self.vectors[j]
         ok = (x * y).sum(axis=1) / (self.norms[i] * self.norms[j]) >= self.cosine
+        if self.whole:
+            return ok
         difference = self.rotated[i, : self.blocks[-1].stop] - self.rotated[j, : self.blocks[-1].stop]
         for c, part in enumerate(self.blocks):
             inside = np.zeros(len(i))
@@ -228,8 +244,12 @@ class Comparison:
     def links(self, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Portions (rows, columns, matrix) of which vectors of ``left`` link with which of ``right``."""
         step = max(1, AREA // max(1, len(right)))
+        others = np.ascontiguousarray(self.single[right].T) if self.whole else None
         for top in range(0, len(left), step):
             i = left[top : top + step]
+            if self.whole:
+                yield from self._whole_links(i, right, self.single[i] @ others)
+                continue
             near = self._apart(self.b, i, right) <= self.shares[self.b] + SLACK
             rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
             if not len(rows):
@@ -256,6 +276,22 @@ class Comparison:
             if near.any():
                 yield i, j, near
 
+    def _whole_links(self, i: np.ndarray, j: np.ndarray, cos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What ``links`` yields, by cosines in products of 32 bits; one by one only what lies close to the bound."""
+        near = cos >= self.cosine - SLACK
+        if not near.any():
+            return
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        i, j, cos = i[rows], j[columns], cos[np.ix_(rows, columns)]
+        near = cos >= self.cosine - SLACK
+        near &= i[:, None] != j[None, :]
+        x, y = np.nonzero(near & (cos < self.cosine + SLACK))
+        for k in range(0, len(x), 65_536):
+            some = x[k : k + 65_536], y[k : k + 65_536]
+            near[some] = self._exactly(i[some[0]], j[some[1]])
+        if near.any():
+            yield i, j, near
+
 
 def compare(rows: pd.DataFrame, b: int, own: bool, block: int, cosine: float) -> pd.DataFrame:
     """(a, b, n): links of a forest, with n null, and the numbers n of vectors that each ``a`` links with, with b null."""
@@ -266,7 +302,7 @@ def compare(rows: pd.DataFrame, b: int, own: bool, block: int, cosine: float) ->
     for i, j, near in work.links(mine, mine if own else its):
         counts[i] += near @ copies[j]
         if not own:
-            np.add.at(counts, j, copies[i] @ near)
+            counts[j] += copies[i] @ near
         x, y = np.nonzero(near)
         groups.add(i[x], j[y])
     keys = rows["key"].to_numpy()

@@ -151,6 +151,20 @@ def test_links_equal_all_pairs(spark, dims, chunk, block):
     assert dims == 1 or 0 < sum(n for _, n, _, _ in want) < 280 * 279  # some link, some don't
 
 
+@pytest.mark.parametrize("block", [3, 6, 8])  # vectors of six are filled up to eight
+def test_links_of_filled_up_blocks(spark, block):
+    vectors = vectors_of(np.random.default_rng(3), 120, 6)
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    assert table_of(embedding_links.near_duplicates(df, chunk=50, block=block), *LINKS) == link_rows(vectors)
+
+
+def test_a_vector_has_one_tile(spark):
+    raws = [np.array(v, "<f8").tobytes() for _, v in vectors_of(np.random.default_rng(9), 80, 64)]
+    nodes = spark.createDataFrame([(k.to_bytes(2, "big"), raw) for k, raw in enumerate(raws)], "key binary, raw binary").repartition(3)
+    places = embedding_links.tiled(nodes, embedding_links.Trees(raws, 4)).collect()
+    assert len(places) == 80 and len({r.tile for r in places}) == 4 and sum(r.n or 0 for r in places) == 80
+
+
 def test_a_dense_group_is_counted_whole(spark):
     draw = np.random.default_rng(5)
     x = np.ones((300, 64)) + 0.05 * draw.normal(size=(300, 64))
