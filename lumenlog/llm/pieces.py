@@ -50,24 +50,31 @@ class PieceCoder:
     of at most ``longest`` characters.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], limit: int = 250_000, longest: int = 32):
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], limit: int = 450_000, longest: int = 32):
         self.findall = regex.compile(pattern).findall
+        self.encode_piece = encode_piece
         self.pieces = Bounded(encode_piece, limit, longest)
-        self.parts = Bounded(self._spaced, limit, longest)
+        self.parts = Bounded(self._spaced, limit, longest)  # by what follows the space; words are kept here alone
 
     def _match(self, part: str) -> bytes:
+        if part[:1] == " " and not part[-1].isspace():
+            return self.parts[part[1:]]
         pieces = self.pieces
-        bare = part[1:] if part[:1] == " " else part
-        if bare.isalpha():
+        if part.isalpha():
             return pieces[part]
-        if bare and bare[-1] in _PUNCTUATION and bare[:-1].isalpha():
+        if part and part[-1] in _PUNCTUATION and part[:-1].isalpha():
             return pieces[part[:-1]] + pieces[part[-1]]
         return b"".join([pieces[x] for x in self.findall(part)])
 
     def _spaced(self, part: str) -> bytes:
+        if part.isalpha():
+            return self.encode_piece(" " + part)
         if not part or part[-1].isspace():
             raise Irregular
-        return self._match(" " + part)
+        if part[-1] in _PUNCTUATION and part[:-1].isalpha():
+            return self.parts[part[:-1]] + self.pieces[part[-1]]
+        found = self.findall(" " + part)
+        return b"".join([self.parts[x[1:]] if x[0] == " " and x[1:].isalpha() else self.pieces[x] for x in found])
 
     def encode(self, text: str) -> bytes:
         if not text:

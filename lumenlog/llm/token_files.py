@@ -46,28 +46,33 @@ STORED = (np.arange(4)[None, None, :] < LENGTHS[:, :, None]).reshape(256, 16)
 #: How byte-level vocabularies spell bytes: printable ones as themselves, the others, in order, from character 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPELT = [ALPHABET.get(b, chr(b)) for b in range(256)]
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data bytes of unsigned 32-bit values."""
-    values = values.astype("<u4")
-    short = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    width = 2 if not len(values) or values.max() <= 0xFFFF else 4  # bytes that any value takes, at most
+    values = values.astype(f"<u{width}")
+    short = (values > 0xFF).astype(np.uint8)
+    if width > 2:
+        short += (values > 0xFFFF).astype(np.uint8) + (values > 0xFFFFFF)
     codes = np.zeros((len(values) + 3) // 4 * 4, np.uint8)
     codes[: len(values)] = short
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    stored = np.arange(4, dtype=np.uint8)[None, :] <= short[:, None]
-    return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[stored].tobytes()
+    stored = np.arange(width, dtype=np.uint8)[None, :] <= short[:, None]
+    return control.tobytes(), values.view(np.uint8).reshape(-1, width)[stored].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of control and data bytes, by table lookup."""
     codes = np.frombuffer(control, np.uint8)
-    stored = STORED[codes]
+    width = 4 if (codes & 0xAA).any() else 2  # bytes that any value takes, at most
+    stored = STORED.reshape(256, 4, 4)[:, :, :width].reshape(256, -1)[codes]
     if n % 4:
-        stored[-1, 4 * (n % 4) :] = False
-    out = np.zeros((len(codes), 16), np.uint8)
+        stored[-1, width * (n % 4) :] = False
+    out = np.zeros((len(codes), 4 * width), np.uint8)
     out[stored] = np.frombuffer(data, np.uint8)
-    return out.reshape(-1).view("<u4")[:n]
+    return out.reshape(-1).view(f"<u{width}")[:n].astype("<u4", copy=False)
 
 
 def rank(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +91,14 @@ class TextCoder:
 
     def __init__(self, tokenizer: Tokenizer):
         tokenize = tokenizer.model.tokenize  # of one piece, spelt in the byte alphabet
+        packed = {key: key.to_bytes(4, "little") for key in tokenizer.get_vocab().values()}
 
         def piece(text: str) -> bytes:
             if text.isascii() and text.isprintable():  # of these bytes only the space is spelt otherwise
                 spelt = text.replace(" ", ALPHABET[32])
             else:
-                spelt = text.encode("utf-8", "replace").decode("latin-1").translate(ALPHABET)
-            return np.array([token.id for token in tokenize(spelt)], "<u4").tobytes()
+                spelt = "".join([_SPELT[b] for b in text.encode("utf-8", "replace")])
+            return b"".join([packed[token.id] for token in tokenize(spelt)])
 
         added = tokenizer.get_added_tokens_decoder()
         if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
@@ -100,7 +106,7 @@ class TextCoder:
         self.added = {t.content: np.array([key], "<u4").tobytes() for key, t in added.items() if t.content}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split if self.added else None
-        self.parts = PieceCoder(public_tokenizers.PATTERN, piece, limit=800_000)
+        self.parts = PieceCoder(public_tokenizers.PATTERN, piece, limit=1_200_000)
 
     def encode(self, text: str) -> bytes:
         if self.split is None or not any(x in text for x in self.added):

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lumenlog.llm import (
-    byte_pairs, decontamination, html_text, language_model, license_scan, quality_classifier, quality_rules, queries, simhash, token_counts,
-    token_files, varints,
+    byte_pairs, decontamination, html_text, language_model, license_scan, pieces, quality_classifier, quality_rules, queries, simhash,
+    token_counts, token_files, varints,
 )
 
 SMALL = "/root/testdata/sf0.001"
@@ -278,6 +278,14 @@ def test_added_tokens_are_ids_of_their_own(spark):
     assert {r.doc_id: r.n_tokens for r in token_counts.totals(docs, path).collect()} == {k: len(v) for k, v in want.items()}
 
 
+def test_words_are_encoded_and_kept_once():
+    seen = []
+    parts = pieces.PieceCoder(public_tokenizers.PATTERN, lambda piece: seen.append(piece) or piece.encode())
+    for text in ("a word, word word.\nword word", "  word\n word", "x. word! word-word word", " word"):
+        assert parts.encode(text).decode() == text
+    assert seen.count(" word") == 1 and " word" not in parts.pieces
+
+
 def test_a_missing_id_is_dealt_to_many_tasks(spark, tmp_path):
     docs = spark.range(6000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
     path = token_files.write(docs, public_tokenizers.path(queries.BYTE_BPE), str(tmp_path / "ids"))
