@@ -74,14 +74,22 @@ def constant(score: float) -> Model:
     return Model(zeros, zeros, 0.0, 0.0, float(np.log(score / (1 - score))))
 
 
+def in_one(lengths: list[int], kind: type) -> list[np.ndarray]:
+    """Unset arrays of those lengths in one piece of memory, which goes back to the system when they are dropped;
+    thousands of small ones would leave it with the driver."""
+    ends = np.cumsum([0, *lengths]).tolist()
+    whole = np.empty(ends[-1], kind)
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _coordinate_descent(rows: list[np.ndarray], ratios: np.ndarray, labels: np.ndarray, cost: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     """Weights of a linear hinge-loss model on unit rows of ``ratios``, by dual coordinate descent."""
     weights, bias = np.zeros(SIZE), 0.0
     alphas = np.zeros(len(rows))
-    values = []
-    for grams in rows:
+    values = in_one([len(grams) for grams in rows], np.float64)
+    for grams, out in zip(rows, values):
         value = ratios[grams].astype(np.float64)
-        values.append(value / max(np.sqrt(value @ value), 1e-9))
+        np.divide(value, max(np.sqrt(value @ value), 1e-9), out=out)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         most = 0.0
@@ -165,11 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
             found = [(key, grams(text).tobytes()) for key, text in texts(batch)]
             yield pd.DataFrame(found, columns=["doc_id", "grams"])
 
-    features: dict[int, bytes] = {}
+    held, places = bytearray(), {}  # in one piece, as in ``in_one``
     for key, grams in chosen.mapInPandas(run, "doc_id long, grams binary").toLocalIterator():
-        features[key] = max(features.get(key, b""), bytes(grams))  # rows of one id: any one, always the same
-    keys = sorted(features)
-    return fit_rows([np.frombuffer(features[k], np.int32) for k in keys], np.array([rows[k] for k in keys], int), np.array(keys, np.int64))
+        if key in places and bytes(grams) <= held[slice(*places[key])]:
+            continue  # rows of one id: any one, always the same
+        places[key] = len(held), len(held) + len(grams)
+        held += grams
+    keys, flat = sorted(places), np.frombuffer(held, np.int32)
+    found = [flat[places[k][0] // 4 : places[k][1] // 4] for k in keys]
+    return fit_rows(found, np.array([rows[k] for k in keys], int), np.array(keys, np.int64))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

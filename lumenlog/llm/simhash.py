@@ -24,6 +24,8 @@ from lumenlog.llm.common import frame, stored, texts
 CHUNK = 65_536
 #: Comparisons made at once, at most: 4 million exclusive-ors of 8 bytes.
 AREA = 1 << 22
+#: Links that a task joins at once, about.
+EDGES = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -177,14 +179,56 @@ def links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return work.groupBy("task").applyInPandas(compare, "a long, b long")
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``n`` numbers reaches over the links (i, j)."""
+    parent = np.arange(n)
+    while True:
+        x, y = parent[i], parent[j]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        apart = low != high
+        if not apart.any():
+            return parent
+        i, j, low, high = i[apart], j[apart], low[apart], high[apart]
+        order = np.lexsort((low, high))
+        moved, first = np.unique(high[order], return_index=True)  # each root that moves takes its smallest neighbour
+        parent[moved] = low[order[first]]
+        while not ((above := parent[parent]) == parent).all():
+            parent = above
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) of each node to the smallest it reaches over at most about EDGES links of its partition; they join what ``links`` join."""
+
+    def star(held: list[pd.DataFrame]) -> pd.DataFrame:
+        links = pd.concat(held, ignore_index=True)
+        numbers, names = pd.factorize(pd.concat([links["a"], links["b"]], ignore_index=True).to_numpy(), sort=True)
+        roots = _roots(len(names), numbers[: len(links)], numbers[len(links) :])
+        moved = np.flatnonzero(roots != np.arange(len(names)))
+        return pd.DataFrame({"a": names[roots[moved]], "b": names[moved]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= EDGES:
+                yield star(held)
+                held, size = [], 0
+        if size:
+            yield star(held)
+
+    return links.mapInPandas(run, links.schema)
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root): the smallest node reachable over ``links`` (a, b), by large-star and small-star rounds.
 
     Each round makes every node point to the smallest of its neighbours; degrees are never gathered, the
-    smallest neighbour is a partial aggregate and is joined back.
+    smallest neighbour is a partial aggregate and is joined back. Before the first round tasks join what links of
+    their own reach, so that few rounds are left: each is several jobs whose plans and results the driver keeps.
     """
-    edges = stored(_pairs(links), name)
-    before = None
+    edges = stored(_stars(_pairs(links)), name)
+    before = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -195,10 +239,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("low").alias("b"))
         edges = stored(_pairs(small), name)
         # settled when every larger node has one link and no root is anyone's larger node
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        state = _state(edges)
+        if state == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = tuple(state)
+        before = state
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def _pairs(links: DataFrame) -> DataFrame:

@@ -278,6 +278,25 @@ def test_added_tokens_are_ids_of_their_own(spark):
     assert {r.doc_id: r.n_tokens for r in token_counts.totals(docs, path).collect()} == {k: len(v) for k, v in want.items()}
 
 
+def test_components_of_few_links_take_one_round(spark, monkeypatch):
+    stored, written = simhash.stored, []
+    monkeypatch.setattr(simhash, "stored", lambda df, name: written.append(name) or stored(df, name))
+    pairs = [(k, k + 1) for k in range(60)] + [(100 + k, 100) for k in range(1, 9)] + [(7, 7), (200, 200)]
+    want = {**dict.fromkeys(range(1, 61), 0), **dict.fromkeys(range(101, 109), 100)}
+    for least, rounds in ((simhash.EDGES, 1), (5, 30)):  # joined by one task, or five links at a time
+        monkeypatch.setattr(simhash, "EDGES", least)
+        written.clear()
+        found = simhash.components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()
+        assert sorted((r.node, r.root) for r in found) == sorted(want.items())
+        assert len(written) <= rounds + 1
+    assert simhash.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_the_driver_holds_the_sample_in_one_piece():
+    parts = quality_classifier.in_one([3, 0, 5], np.float64)
+    assert [len(x) for x in parts] == [3, 0, 5] and len({id(x.base) for x in parts}) == 1
+
+
 def test_words_are_encoded_and_kept_once():
     seen = []
     parts = pieces.PieceCoder(public_tokenizers.PATTERN, lambda piece: seen.append(piece) or piece.encode())
