@@ -189,6 +189,21 @@ def test_evidence_behind_many_newer_events(make):
     assert len(got["timeline"]) == pm.TIMELINE_EVENTS and got["timeline"][0].startswith("- **2024-01-02 01:40")
 
 
+def test_a_report_has_all_events_candidates_and_traces(make):
+    rows = [(f"a{n}", "i", "candidate_attached", f"2024-01-01 00:00:0{n}", "ops", f'{{"candidate_id": "c{n}", "trace_ids": ["t1", "t2", "t3", "t4"]}}') for n in range(8)]
+    rows += [(f"e{n:03d}", "i", "status_changed", f"2024-01-02 {n // 60:02d}:{n % 60:02d}:00", "ops", "{}") for n in range(300)]
+    events = make(rows, "event_id string, incident_id string, event_type string, event_time timestamp, actor string, payload string")
+    cards = make([("i",)], "incident_id string")
+    similar = make([], "incident_id string, similar_id string, score double, rank int")
+    columns = {n: F.lit(None).cast("string") for n in ("service", "category", "severity", "opened_at")}
+    text = pm.postmortems(cards.withColumns(columns), events, similar).first()["markdown"]
+    assert text.count(" · actor: `ops`") == 308
+    proofs = [line for line in text.split("\n") if line.startswith("- candidate_id=")]
+    assert proofs == [f"- candidate_id=`c{n}`, trace_ids: `t1`, `t2`, `t3`, `t4`" for n in range(7, -1, -1)]
+    few = pm.postmortems(cards.withColumns(columns), events, similar, shown=200, evidence_shown=5, traces_shown=3).first()["markdown"]
+    assert few.count(" · actor: `ops`") == 200 and few.count("- candidate_id=") == 5 and "`t4`" not in few
+
+
 def test_forest_samples_follow_one_rule(spark):
     def points(n):
         return spark.range(n).selectExpr(
