@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumenlog.llm import collocations, divergence, embedding_links
@@ -229,6 +230,41 @@ def test_phrases_equal_full_counts(spark, odd, shard, least, top):
         assert want
 
 
+def test_phrases_need_one_pass_however_many(odd, monkeypatch):
+    """No tries, whose number grows with the phrases, unless hashes of different phrases meet."""
+    monkeypatch.setattr(collocations, "phrase_counts", None)
+    docs = odd.sparkSession.createDataFrame([(f"a b{k} c{k % 7}. " * 3, "en") for k in range(200)], "text string, lang string")
+    got = collocations.mine(docs, least=3, top=50, shard=10)
+    assert table_of(got, *PHRASES) == phrase_rows([(r["text"], r["lang"]) for r in docs.collect()], 3, 50)
+
+
+def test_phrases_of_one_hash_are_doubtful(monkeypatch):
+    texts = ["a b c a b x y. a b", "a b"]
+
+    def counts():
+        places = collocations.Places(["en", "de"], texts)
+        return pd.concat(collocations.portion_counts(places, collocations.Filter([]), 3)).astype({"a": object})
+
+    want = collections.Counter()
+    for lang, text in zip(["en", "de"], texts):
+        for piece in text.split(". "):
+            ws = piece.split()
+            want.update((lang, " ".join(ws[i : i + k])) for k in (2, 3) for i in range(len(ws) - k + 1))
+    assert {(r.lang, r.phrase): r.a for r in counts().itertuples()} == want
+    monkeypatch.setattr(collocations, "_mix", lambda h, other: np.zeros(len(other), np.uint64))  # everything meets
+    found = counts()
+    assert {(r.lang, r.phrase) for r in found.itertuples()} == set(want) and found["a"].isna().all()
+
+
+def test_doubtful_phrases_are_counted_by_tries(odd, monkeypatch):
+    found = collocations.candidates
+    doubt = lambda docs, tables, longest: found(docs, tables, longest).selectExpr("lang", "phrase", "if(phrase like 'a %', null, a) AS a")
+    monkeypatch.setattr(collocations, "candidates", doubt)
+    docs = odd.sparkSession.createDataFrame([(f"a b{k % 5} c{k % 7}. a b", "en") for k in range(200)], "text string, lang string")
+    got = collocations.mine(docs, least=3, top=50, shard=10)
+    assert table_of(got, *PHRASES) == phrase_rows([(r["text"], r["lang"]) for r in docs.collect()], 3, 50)
+
+
 def test_phrases_of_nothing(odd):
     assert collocations.mine(odd.limit(0)).count() == 0
     assert collocations.mine(odd.where("doc_id = 3")).count() == 0
