@@ -10,28 +10,38 @@ message, and the group of any row is the lowest-numbered template that fully mat
 row's time. Learning therefore runs over distinct messages in bounded rounds, and assignment
 is a join with the log of template changes.
 
-Which templates a message fully matches is looked up in an index. A template is stored by the positions that
+A leaf of few rows is learnt whole in one task, which also says what its messages belong to at which time; many such
+leaves share a task. Texts cross the shuffle once for it and once as templates: rows are joined by digests, and
+templates are numbered until the end.
+
+In larger leaves, which templates a message fully matches is looked up in an index. A template is stored by the positions that
 are wildcards in it or in the message and by its words at all others, so a message meets the templates with
 its own words there and no others. Leaves are salted, so one that holds most rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.functions.text import WILDCARD, masked, prefix_token, tokens
-from lumenlog.session import checkpointed
+from lumenlog.session import checkpointed, run_dir
 
 SIMILARITY = 0.5
 MAX_GROUPS = 128
 ROUND_SIZE = 5_000
 #: Messages of a task's group of leaves, about.
 GROUP = 1_000
+#: Time (us, tie) of templates known from before.
+BEFORE = (-(1 << 63), None)
+#: Rows of leaves that are learnt whole at once, about.
+WHOLE = 8_000
 #: Tasks that one leaf is spread over in sorts and joins, and distinct messages from which on it is in joins.
 SALTS, SPREAD = 32, 1_000
 
@@ -85,32 +95,32 @@ def full_matches(messages: DataFrame, templates: DataFrame) -> DataFrame:
     return asked.join(held, ["leaf", "_own", "_free", "_words", "_salt"]).drop("_own", "_free", "_words", "_salt")
 
 
-def _learner(similarity: float, max_groups: int | None):
-    """Pandas function: distinct messages of some leaves, and the templates known there, to the leaves' template changes."""
+def _leaf_pass(messages: list, known: list, similarity: float, max_groups: int | None) -> tuple[list[tuple], list[int]]:
+    """Messages of a leaf (lists of words in the order of time) against the templates known there.
 
-    def leaf_changes(leaf: str, messages: list[tuple], known: list) -> list[tuple]:
-        codes: dict[str, int] = {WILDCARD: 0}
-
-        def encode(words) -> np.ndarray:
-            return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
-
-        known = [encode(t) for t in known]
-        length = len(known[0]) if known else len(messages[0][2])
-        table = np.zeros((max(16 if len(messages) > 16 else len(messages), 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
-        size = len(known)
-        if known:
-            table[:size] = np.stack(known)
-        changes = []
-        for us, tie, words in messages:
-            row = encode(words)
-            best, share = -1, -1.0
-            if size:
-                held = table[:size]
-                hits = ((held == row) | (held == 0) | (row == 0)).sum(axis=1)
-                best = int(hits.argmax())
-                share = float(hits[best] / length)
-            if share == 1.0:
-                continue
+    Template changes (place of the message, ordinal, template), and the ordinal that each message joins.
+    """
+    codes: dict[str, int] = {WILDCARD: 0}
+
+    def encode(words) -> np.ndarray:
+        return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
+
+    known = [encode(t) for t in known]
+    length = len(known[0]) if known else len(messages[0])
+    table = np.zeros((max(16 if len(messages) > 16 else len(messages), 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
+    size = len(known)
+    if known:
+        table[:size] = np.stack(known)
+    changes, joined = [], []
+    for place, words in enumerate(messages):
+        row = encode(words)
+        best, share = -1, -1.0
+        if size:
+            held = table[:size]
+            hits = ((held == row) | (held == 0) | (row == 0)).sum(axis=1)
+            best = int(hits.argmax())
+            share = float(hits[best] / length)
+        if share < 1.0:
             if share < similarity and (max_groups is None or size < max_groups):
                 if size == len(table):
                     table = np.concatenate([table, np.zeros_like(table)])
@@ -118,9 +128,18 @@ def _learner(similarity: float, max_groups: int | None):
                 best, size = size, size + 1
             else:
                 table[best] = np.where((table[best] == row) | (row == 0), table[best], 0)
-            changes.append((us, tie, best, table[best].copy()))
-        words_of = list(codes)
-        return [(leaf, us, tie, best, [words_of[i] for i in codes_]) for us, tie, best, codes_ in changes]
+            changes.append((place, best, table[best].copy()))
+        joined.append(best)
+    words_of = list(codes)
+    return [(place, best, [words_of[i] for i in codes_]) for place, best, codes_ in changes], joined
+
+
+def _learner(similarity: float, max_groups: int | None):
+    """Pandas function: distinct messages of some leaves, and the templates known there, to the leaves' template changes."""
+
+    def leaf_changes(leaf: str, messages: list[tuple], known: list) -> list[tuple]:
+        changes, _ = _leaf_pass([words for _, _, words in messages], known, similarity, max_groups)
+        return [(leaf, *messages[place][:2], best, template) for place, best, template in changes]
 
     def learn(messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         held: dict[str, list] = {}
@@ -196,6 +215,125 @@ def _heads(pending: DataFrame, size: int) -> DataFrame:
     return rows.drop("_salt")
 
 
+def _open_places(template: list[str]) -> int:
+    """A template's changes open places, so this tells its versions apart."""
+    return sum(w == WILDCARD for w in template)
+
+
+def _time(us, tie) -> tuple:
+    """A row's time as Spark orders it: null comes first."""
+    return us is not None, us or 0, tie is not None, 0 if tie is None else tie
+
+
+def _whole_leaf(rows: list[tuple], known: list, similarity: float, max_groups: int | None) -> tuple[list[tuple], list[tuple]]:
+    """All rows (us, tie, masked, key) of a leaf, and the templates known there in the order of their numbers.
+
+    Versions (us, tie, ordinal, template, newest of its ordinal, new), and (key, steps) of each distinct message: from
+    when on (us, tie) its rows belong to which version (ordinal, open places). That is the lowest ordinal that matched.
+    """
+    first: dict[bytes, tuple] = {}
+    last: dict[bytes, tuple] = {}
+    for us, tie, masked_, key in rows:
+        at = _time(us, tie)
+        if key not in first or at < first[key][0]:
+            first[key] = (at, masked_, us, tie, key)
+        if key not in last or at > last[key]:
+            last[key] = at
+    order = sorted(first.values(), key=lambda x: x[:2])
+    messages = [masked_.split(" ") if masked_ else [WILDCARD] for _, masked_, *_ in order]
+    alone = len(order) == 1 and not known
+    changes, joined = ([(0, 0, messages[0])], [0]) if alone else _leaf_pass(messages, known, similarity, max_groups)
+    versions = [(*BEFORE, k, list(t)) for k, t in enumerate(known)] + [(*order[place][2:4], ordinal, t) for place, ordinal, t in changes]
+    newest = {ordinal: k for k, (_, _, ordinal, _) in enumerate(versions)}
+    wide = [_open_places(t) for _, _, t in changes]
+    now = {k: _open_places(t) for k, t in enumerate(known)}
+    found, done = [], 0
+    for place, (at, _, us, tie, key) in enumerate(order):
+        while done < len(changes) and changes[done][0] <= place:
+            now[changes[done][1]] = wide[done]
+            done += 1
+        steps = [(us, tie, joined[place], now[joined[place]])]
+        if last[key] > at or (place + 1 < len(order) and order[place + 1][0] == at):
+            for (where, ordinal, template), places in zip(changes[done:], wide[done:]):
+                then = order[where][0]
+                if then > last[key]:
+                    break
+                if ordinal <= steps[-1][2] and all(a == b or WILDCARD in (a, b) for a, b in zip(template, messages[place])):
+                    step = (*order[where][2:4], ordinal, places)
+                    steps = [step] if then == at else [*steps, step]
+        found.append((key, steps))
+    return [(*v, newest[v[2]] == k, k >= len(known)) for k, v in enumerate(versions)], found
+
+
+def _learn_whole(rows: DataFrame, known: DataFrame | None, groups: int, similarity: float, max_groups: int | None) -> DataFrame:
+    """Versions (leaf, since_us, since_tie, ordinal, template, newest, new) and, with a null leaf, (key, steps), stored.
+
+    ``rows`` (leaf, us, tie, masked, key) and ``known`` (leaf, ordinal, template) are dealt to ``groups`` of leaves.
+    """
+    tie_type = rows.schema["tie"].dataType.simpleString()
+    schema = (
+        f"leaf binary, since_us bigint, since_tie {tie_type}, ordinal int, template array<string>, newest boolean, new boolean, "
+        f"key binary, steps array<struct<since_us: bigint, since_tie: {tie_type}, ordinal: int, open: int>>"
+    )
+    names = ["leaf", "since_us", "since_tie", "ordinal", "template", "newest", "new", "key", "steps"]
+    step = ["since_us", "since_tie", "ordinal", "open"]
+
+    def learn(messages: pa.Table, held: pa.Table | None = None) -> pa.Table:
+        tie = messages.schema.field("tie").type
+        ours: dict[bytes, list] = {}
+        for leaf, *row in zip(*(messages[c].to_pylist() for c in ("leaf", "us", "tie", "masked", "key"))):
+            ours.setdefault(leaf, []).append(row)
+        theirs: dict[bytes, list] = {}
+        if held is not None:
+            for leaf, ordinal, template in zip(*(held[c].to_pylist() for c in ("leaf", "ordinal", "template"))):
+                theirs.setdefault(leaf, []).append((ordinal, template))
+        out: list[list] = [[] for _ in names]
+        for leaf, mine in ours.items():
+            versions, found = _whole_leaf(mine, [t for _, t in sorted(theirs.get(leaf, []))], similarity, max_groups)
+            for row in [(leaf, *v, None, None) for v in versions] + [(*[None] * 7, k, [dict(zip(step, s)) for s in x]) for k, x in found]:
+                for column, value in zip(out, row):
+                    column.append(value)
+        steps = pa.list_(pa.struct([("since_us", pa.int64()), ("since_tie", tie), ("ordinal", pa.int32()), ("open", pa.int32())]))
+        kinds = [pa.binary(), pa.int64(), tie, pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.binary(), steps]
+        return pa.table([pa.array(column, kind) for column, kind in zip(out, kinds)], names=names)
+
+    deal = F.pmod(F.xxhash64("leaf"), F.lit(max(1, groups))).alias("deal")
+    if known is None:
+        learnt = rows.groupBy(deal).applyInArrow(lambda messages: learn(messages), schema)
+    else:
+        learnt = rows.groupBy(deal).cogroup(known.groupBy(deal)).applyInArrow(lambda messages, held: learn(messages, held), schema)
+    return _stored(learnt, "drain-leaves")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = run_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _in_rounds(rows: DataFrame, known: DataFrame | None, **options) -> tuple[DataFrame, DataFrame]:
+    """Template changes and (key, steps) of large leaves, stored; ``rows`` (leaf, masked, _us, _tie, _key)."""
+    distinct = rows.groupBy("leaf", "masked").agg(F.min(F.struct("_us", "_tie")).alias("_first"), F.first("_key").alias("key"))
+    distinct = distinct.select(
+        "leaf", "masked", tokens(F.col("masked")).alias("tokens"), "key",
+        F.col("_first._us").alias("first_us"), F.col("_first._tie").alias("first_tie"),
+    )
+    distinct = checkpointed(distinct)
+    changes = _stored(learn_templates(distinct, known=known, **options), "drain-changes")
+    log = changes.select("leaf", F.struct("since_us", "since_tie").alias("since"), "ordinal", "template", _wide(F.col("template")).alias("open"))
+    step = F.struct(F.col("since.since_us").alias("since_us"), F.col("since.since_tie").alias("since_tie"), "ordinal", "open")
+    steps = full_matches(distinct.select("leaf", "masked", "tokens", "key"), log).groupBy("key")
+    return changes, _stored(steps.agg(F.array_sort(F.collect_list(step)).alias("steps")), "drain-steps")
+
+
+def _wide(template: Column) -> Column:
+    return F.size(F.filter(template, lambda w: w == WILDCARD))
+
+
+def _cluster(leaf: Column, ordinal: Column) -> Column:
+    return F.substring(F.sha1(F.concat_ws("|", leaf, ordinal.cast("string"))), 1, 16)
+
+
 def mined(
     logs: DataFrame, *, scope: list[str] | None = None, tie: str | None = None, known: DataFrame | None = None,
     similarity: float = SIMILARITY, max_groups: int | None = MAX_GROUPS, round_size: int = ROUND_SIZE,
@@ -203,46 +341,65 @@ def mined(
     """Every log row with cluster_id, ordinal, template_at (as of the row's time) and template_final, and the template changes.
 
     ``known`` holds templates (leaf, ordinal, template) from before: they are older than all rows, whatever the
-    rows' times are.
+    rows' times are. Leaves of at most ``round_size`` rows are learnt whole, others in rounds.
     """
     tie = tie or ("log_id" if "log_id" in logs.columns else "masked")
     rows = with_leaf(logs, scope)
-    distinct = (
-        rows.select("leaf", "masked", "tokens", F.unix_micros("timestamp").alias("_us"), F.col(tie).alias("_tie"))
-        .groupBy("leaf", "masked")
-        .agg(F.min(F.struct("_us", "_tie")).alias("_first"), F.first("tokens").alias("tokens"))
-        .select(
-            "leaf", "masked", "tokens",
-            F.col("_first._us").alias("first_us"), F.col("_first._tie").alias("first_tie"),
-        )
-    )
+    # never null, and said to be so: else a filter on it would mask each message over and over
+    key = F.coalesce(F.unhex(F.sha1(F.concat_ws("\x1f", "leaf", "masked"))), F.lit(b""))
+    rows = rows.withColumns({"_us": F.unix_micros("timestamp"), "_tie": F.col(tie), "_key": key})
+    masked_once = _stored(rows.select("leaf", "masked", "_us", "_tie", "_key"), "drain-rows")
+    sizes = masked_once.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    small = F.col("n") <= round_size
+    sizes = _stored(sizes.groupBy(F.when(small, None).otherwise(F.col("leaf")).alias("leaf")).agg(F.sum("n").alias("n")), "drain-leaf-sizes")
+    large = sizes.where("leaf IS NOT NULL").select("leaf")
+    few, hot = sizes.agg(F.sum(F.when(F.col("leaf").isNull(), F.col("n"))), F.count("leaf")).first()
+    tie_type = rows.schema["_tie"].dataType.simpleString()
+    old = None
     if known is not None:
-        known = known.select("leaf", F.lit(-(1 << 63)).cast("long").alias("since_us"), F.lit(None).alias("since_tie"), "ordinal", "template")
-    distinct = checkpointed(distinct)
-    changes = learn_templates(distinct, known=known, similarity=similarity, max_groups=max_groups, round_size=round_size)
-    final = current_templates(changes).select("leaf", "ordinal", F.array_join("template", " ").alias("template_final"))
-    log = changes.join(final, ["leaf", "ordinal"]).select(
-        "leaf", F.struct("since_us", "since_tie").alias("since"), "ordinal", "template", "template_final"
-    )
-    entry = F.struct("since", "ordinal", F.array_join("template", " ").alias("template"), "template_final")
-    epochs = (
-        full_matches(distinct.select("leaf", "masked", "tokens"), log)
-        .groupBy("leaf", "masked")
-        .agg(F.array_sort(F.collect_list(entry)).alias("_epochs"))
-    )
-    at = F.struct(F.unix_micros("timestamp").alias("since_us"), F.col(tie).alias("since_tie"))
-    joined = rows.withColumn("_at", at).join(epochs, ["leaf", "masked"])
-    past = joined.withColumn("_past", F.filter("_epochs", lambda e: e["since"] <= F.col("_at")))
-    lowest = past.withColumn("ordinal", F.array_min(F.transform("_past", lambda e: e["ordinal"])))
-    hit = F.element_at(F.filter("_past", lambda e: e["ordinal"] == F.col("ordinal")), -1)
-    out = lowest.withColumn("_hit", hit).withColumns(
-        {
-            "cluster_id": F.substring(F.sha1(F.concat_ws("|", "leaf", F.col("ordinal").cast("string"))), 1, 16),
-            "template_at": F.col("_hit.template"),
-            "template_final": F.col("_hit.template_final"),
-        }
-    )
-    return out.drop("_epochs", "_at", "_past", "_hit", "tokens", "prefix"), changes
+        before = [F.lit(x).cast(kind).alias(name) for x, kind, name in zip(BEFORE, ("long", tie_type), ("since_us", "since_tie"))]
+        known = known.select("leaf", "ordinal", "template")
+        old = known.select("leaf", *before, "ordinal", "template")
+    parts, versions, finals, new = [], [], [], []
+    if few:
+        whole = masked_once.join(large, "leaf", "left_anti") if hot else masked_once
+        held = known.join(large, "leaf", "left_anti") if known is not None and hot else known
+        whole = whole.select(F.unhex("leaf").alias("leaf"), F.col("_us").alias("us"), F.col("_tie").alias("tie"), "masked", F.col("_key").alias("key"))
+        held = None if held is None else held.withColumn("leaf", F.unhex("leaf"))
+        learnt = _learn_whole(whole, held, math.ceil(few / WHOLE), similarity, max_groups)
+        parts.append(learnt.where("leaf IS NULL").select("key", "steps"))
+        learnt = learnt.where("leaf IS NOT NULL").withColumn("leaf", F.lower(F.hex("leaf")))
+        versions.append(learnt.select("leaf", "ordinal", "template"))
+        finals.append(learnt.where("newest").select("leaf", "ordinal", "template"))
+        new.append(learnt.where("new").select("leaf", "since_us", "since_tie", "ordinal", "template"))
+    if hot or not few:
+        held = None if old is None else old.join(large, "leaf", "left_semi")
+        changes, steps = _in_rounds(
+            masked_once.join(large, "leaf", "left_semi"), held, similarity=similarity, max_groups=max_groups, round_size=round_size
+        )
+        parts.append(steps)
+        versions.append(changes.select("leaf", "ordinal", "template"))
+        finals.append(current_templates(changes))
+        new.append(changes.where(~F.col("since_us").eqNullSafe(BEFORE[0])))
+
+    def union(tables: list[DataFrame]) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, tables)
+
+    changes = union([*new, *([] if old is None else [old])]).select("leaf", "since_us", "since_tie", "ordinal", "template")
+    text = F.array_join("template", " ")
+    cluster = _cluster(F.col("leaf"), F.col("ordinal")).alias("cluster_id")
+    final = union(finals).select(cluster, text.alias("text")).groupBy("cluster_id").agg(F.first("text").alias("template_final"))
+    then = union(versions).select(cluster, _wide(F.col("template")).alias("_open"), text.alias("text"))
+    then = then.groupBy("cluster_id", "_open").agg(F.first("text").alias("template_at"))
+    at = F.struct(F.col("_us").alias("since_us"), F.col("_tie").alias("since_tie"))
+    joined = rows.drop("tokens", "prefix").join(union(parts).withColumnRenamed("key", "_key"), "_key")
+    past = F.filter("steps", lambda e: F.struct(e["since_us"].alias("since_us"), e["since_tie"].alias("since_tie")) <= at)
+    lowest = joined.withColumn("_past", past).withColumn("ordinal", F.array_min(F.transform("_past", lambda e: e["ordinal"])))
+    hit = F.element_at(F.filter("_past", lambda e: e["ordinal"] == F.col("ordinal")), -1)["open"]
+    out = lowest.withColumns({"_open": hit, "cluster_id": _cluster(F.col("leaf"), F.col("ordinal"))})
+    out = out.join(then, ["cluster_id", "_open"], "left").join(final, "cluster_id", "left")
+    kept = [c for c in rows.columns if c not in ("leaf", "masked", "tokens", "prefix", "_us", "_tie", "_key")]
+    return out.select("leaf", "masked", *kept, "ordinal", "cluster_id", "template_at", "template_final"), changes
 
 
 def assign_templates(logs: DataFrame, **options) -> DataFrame:

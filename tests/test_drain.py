@@ -1,10 +1,15 @@
 """Template mining against a plain sequential pass."""
 
+import os
 import random
+import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from lumenlog.functions import text as tx
 from lumenlog.operators import drain as dr
+from lumenlog.session import shared_dir
 
 WILD = "<*>"
 
@@ -124,3 +129,44 @@ def test_matches_are_the_same_spread_or_not(spark, monkeypatch):
     for spread in (0, 1_000):
         monkeypatch.setattr(dr, "SPREAD", spread)
         assert sorted(r.leaf for r in dr.full_matches(left, right).collect()) == sorted(f"l{k}" for k in range(50))
+
+
+def _bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(path.removeprefix("file:")) for f in files)
+
+
+def test_lines_of_prose_take_little_disk(spark):
+    """Texts that are nearly all templates of their own are kept once and compressed, not once a step."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("aeioustrnl", k=rnd.randint(2, 8))) for _ in range(3000)]
+    lines = [" ".join(rnd.choices(words, k=rnd.randint(5, 60))) for _ in range(6000)]
+    df = spark.createDataFrame([(i, m) for i, m in enumerate(lines)], "log_id bigint, message string").withColumn("timestamp", F.timestamp_seconds("log_id"))
+    before = _bytes(shared_dir(spark))
+    assert len(dr.top_templates(dr.assign_templates(df), 5).collect()) == 5
+    assert _bytes(shared_dir(spark)) - before < 2 * sum(map(len, lines))
+
+
+def test_known_templates_whole_or_in_rounds(make):
+    """Leaves learnt whole and in rounds give the same rows and changes, with templates from before and repeated rows."""
+    messages = [m for m in _messages(120, seed=8) for _ in range(2)]
+    random.Random(1).shuffle(messages)
+    df = make([(i, m, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}") for i, m in enumerate(messages)], "log_id bigint, message string, timestamp timestamp")
+    known = dr.with_leaf(df).where("log_id < 3").selectExpr("leaf", "row_number() over (partition by leaf order by log_id) - 1 AS ordinal", "tokens AS template")
+
+    def result(round_size):
+        rows, changes = dr.mined(df, known=known, round_size=round_size)
+        return (
+            sorted((r.log_id, r.ordinal, r.cluster_id, r.template_at, r.template_final) for r in rows.collect()),
+            sorted((r.leaf, r.since_us, str(r.since_tie), r.ordinal, " ".join(r.template)) for r in changes.collect()),
+        )
+
+    whole, rounds, mixed = result(1000), result(1), result(80)
+    assert len(whole[0]) == len(messages) and whole == rounds == mixed
+
+
+def test_messages_without_variable_parts_are_masked_alike(spark):
+    texts = ["plain  words", "tab\tx", "a\u2003b c", "\u0663 x", "it's 'so'", 'say "a  b"', "dead-beef", " 12ms  left ", "\x1c\x1fx\ty  z", "", None, "a\n\n b\x85c", "0xff"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in df.select(tx.masked(F.col("t")), tx.strip(tx._apply(tx.safe_lower(F.col("t")), tx.MASK_RULES))).collect()]
+    assert [a for a, _ in got] == [b for _, b in got]
+    assert got[0][0] == "plain words" and got[2][0] == "a b c" and re.fullmatch(r"it<\*>so'", got[4][0])
