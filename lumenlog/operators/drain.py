@@ -95,50 +95,56 @@ def full_matches(messages: DataFrame, templates: DataFrame) -> DataFrame:
     return asked.join(held, ["leaf", "_own", "_free", "_words", "_salt"]).drop("_own", "_free", "_words", "_salt")
 
 
-def _leaf_pass(messages: list, known: list, similarity: float, max_groups: int | None) -> tuple[list[tuple], list[int]]:
-    """Messages of a leaf (lists of words in the order of time) against the templates known there.
+def _leaf_pass(similarity: float, max_groups: int | None):
+    """Function: messages of a leaf (lists of words in the order of time) and the templates known there to changes and ordinals.
 
-    Template changes (place of the message, ordinal, template), and the ordinal that each message joins.
+    Template changes (place of the message, ordinal, template), and the ordinal that each message joins. What tasks call
+    is nested, so that they need not import this module.
     """
-    codes: dict[str, int] = {WILDCARD: 0}
-
-    def encode(words) -> np.ndarray:
-        return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
-
-    known = [encode(t) for t in known]
-    length = len(known[0]) if known else len(messages[0])
-    table = np.zeros((max(16 if len(messages) > 16 else len(messages), 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
-    size = len(known)
-    if known:
-        table[:size] = np.stack(known)
-    changes, joined = [], []
-    for place, words in enumerate(messages):
-        row = encode(words)
-        best, share = -1, -1.0
-        if size:
-            held = table[:size]
-            hits = ((held == row) | (held == 0) | (row == 0)).sum(axis=1)
-            best = int(hits.argmax())
-            share = float(hits[best] / length)
-        if share < 1.0:
-            if share < similarity and (max_groups is None or size < max_groups):
-                if size == len(table):
-                    table = np.concatenate([table, np.zeros_like(table)])
-                table[size] = row
-                best, size = size, size + 1
-            else:
-                table[best] = np.where((table[best] == row) | (row == 0), table[best], 0)
-            changes.append((place, best, table[best].copy()))
-        joined.append(best)
-    words_of = list(codes)
-    return [(place, best, [words_of[i] for i in codes_]) for place, best, codes_ in changes], joined
+
+    def leaf_pass(messages: list, known: list) -> tuple[list[tuple], list[int]]:
+        codes: dict[str, int] = {WILDCARD: 0}
+
+        def encode(words) -> np.ndarray:
+            return np.array([codes.setdefault(w, len(codes)) for w in words], dtype=np.int64)
+
+        known = [encode(t) for t in known]
+        length = len(known[0]) if known else len(messages[0])
+        table = np.zeros((max(16 if len(messages) > 16 else len(messages), 2 * len(known)), length), np.int64)  # templates, in the order of their numbers
+        size = len(known)
+        if known:
+            table[:size] = np.stack(known)
+        changes, joined = [], []
+        for place, words in enumerate(messages):
+            row = encode(words)
+            best, share = -1, -1.0
+            if size:
+                held = table[:size]
+                hits = ((held == row) | (held == 0) | (row == 0)).sum(axis=1)
+                best = int(hits.argmax())
+                share = float(hits[best] / length)
+            if share < 1.0:
+                if share < similarity and (max_groups is None or size < max_groups):
+                    if size == len(table):
+                        table = np.concatenate([table, np.zeros_like(table)])
+                    table[size] = row
+                    best, size = size, size + 1
+                else:
+                    table[best] = np.where((table[best] == row) | (row == 0), table[best], 0)
+                changes.append((place, best, table[best].copy()))
+            joined.append(best)
+        words_of = list(codes)
+        return [(place, best, [words_of[i] for i in codes_]) for place, best, codes_ in changes], joined
+
+    return leaf_pass
 
 
 def _learner(similarity: float, max_groups: int | None):
     """Pandas function: distinct messages of some leaves, and the templates known there, to the leaves' template changes."""
+    leaf_pass = _leaf_pass(similarity, max_groups)
 
     def leaf_changes(leaf: str, messages: list[tuple], known: list) -> list[tuple]:
-        changes, _ = _leaf_pass([words for _, _, words in messages], known, similarity, max_groups)
+        changes, _ = leaf_pass([words for _, _, words in messages], known)
         return [(leaf, *messages[place][:2], best, template) for place, best, template in changes]
 
     def learn(messages: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -215,54 +221,57 @@ def _heads(pending: DataFrame, size: int) -> DataFrame:
     return rows.drop("_salt")
 
 
-def _open_places(template: list[str]) -> int:
-    """A template's changes open places, so this tells its versions apart."""
-    return sum(w == WILDCARD for w in template)
-
-
-def _time(us, tie) -> tuple:
-    """A row's time as Spark orders it: null comes first."""
-    return us is not None, us or 0, tie is not None, 0 if tie is None else tie
-
-
-def _whole_leaf(rows: list[tuple], known: list, similarity: float, max_groups: int | None) -> tuple[list[tuple], list[tuple]]:
-    """All rows (us, tie, masked, key) of a leaf, and the templates known there in the order of their numbers.
+def _whole_leaf(similarity: float, max_groups: int | None):
+    """Function: all rows (us, tie, masked, key) of a leaf and the templates known there, by number, to versions and steps.
 
     Versions (us, tie, ordinal, template, newest of its ordinal, new), and (key, steps) of each distinct message: from
     when on (us, tie) its rows belong to which version (ordinal, open places). That is the lowest ordinal that matched.
     """
-    first: dict[bytes, tuple] = {}
-    last: dict[bytes, tuple] = {}
-    for us, tie, masked_, key in rows:
-        at = _time(us, tie)
-        if key not in first or at < first[key][0]:
-            first[key] = (at, masked_, us, tie, key)
-        if key not in last or at > last[key]:
-            last[key] = at
-    order = sorted(first.values(), key=lambda x: x[:2])
-    messages = [masked_.split(" ") if masked_ else [WILDCARD] for _, masked_, *_ in order]
-    alone = len(order) == 1 and not known
-    changes, joined = ([(0, 0, messages[0])], [0]) if alone else _leaf_pass(messages, known, similarity, max_groups)
-    versions = [(*BEFORE, k, list(t)) for k, t in enumerate(known)] + [(*order[place][2:4], ordinal, t) for place, ordinal, t in changes]
-    newest = {ordinal: k for k, (_, _, ordinal, _) in enumerate(versions)}
-    wide = [_open_places(t) for _, _, t in changes]
-    now = {k: _open_places(t) for k, t in enumerate(known)}
-    found, done = [], 0
-    for place, (at, _, us, tie, key) in enumerate(order):
-        while done < len(changes) and changes[done][0] <= place:
-            now[changes[done][1]] = wide[done]
-            done += 1
-        steps = [(us, tie, joined[place], now[joined[place]])]
-        if last[key] > at or (place + 1 < len(order) and order[place + 1][0] == at):
-            for (where, ordinal, template), places in zip(changes[done:], wide[done:]):
-                then = order[where][0]
-                if then > last[key]:
-                    break
-                if ordinal <= steps[-1][2] and all(a == b or WILDCARD in (a, b) for a, b in zip(template, messages[place])):
-                    step = (*order[where][2:4], ordinal, places)
-                    steps = [step] if then == at else [*steps, step]
-        found.append((key, steps))
-    return [(*v, newest[v[2]] == k, k >= len(known)) for k, v in enumerate(versions)], found
+    leaf_pass = _leaf_pass(similarity, max_groups)
+
+    def open_places(template: list[str]) -> int:
+        """A template's changes open places, so this tells its versions apart."""
+        return sum(w == WILDCARD for w in template)
+
+    def time_of(us, tie) -> tuple:
+        """A row's time as Spark orders it: null comes first."""
+        return us is not None, us or 0, tie is not None, 0 if tie is None else tie
+
+    def whole_leaf(rows: list[tuple], known: list) -> tuple[list[tuple], list[tuple]]:
+        first: dict[bytes, tuple] = {}
+        last: dict[bytes, tuple] = {}
+        for us, tie, masked_, key in rows:
+            at = time_of(us, tie)
+            if key not in first or at < first[key][0]:
+                first[key] = (at, masked_, us, tie, key)
+            if key not in last or at > last[key]:
+                last[key] = at
+        order = sorted(first.values(), key=lambda x: x[:2])
+        messages = [masked_.split(" ") if masked_ else [WILDCARD] for _, masked_, *_ in order]
+        alone = len(order) == 1 and not known
+        changes, joined = ([(0, 0, messages[0])], [0]) if alone else leaf_pass(messages, known)
+        versions = [(*BEFORE, k, list(t)) for k, t in enumerate(known)] + [(*order[place][2:4], ordinal, t) for place, ordinal, t in changes]
+        newest = {ordinal: k for k, (_, _, ordinal, _) in enumerate(versions)}
+        wide = [open_places(t) for _, _, t in changes]
+        now = {k: open_places(t) for k, t in enumerate(known)}
+        found, done = [], 0
+        for place, (at, _, us, tie, key) in enumerate(order):
+            while done < len(changes) and changes[done][0] <= place:
+                now[changes[done][1]] = wide[done]
+                done += 1
+            steps = [(us, tie, joined[place], now[joined[place]])]
+            if last[key] > at or (place + 1 < len(order) and order[place + 1][0] == at):
+                for (where, ordinal, template), places in zip(changes[done:], wide[done:]):
+                    then = order[where][0]
+                    if then > last[key]:
+                        break
+                    if ordinal <= steps[-1][2] and all(a == b or WILDCARD in (a, b) for a, b in zip(template, messages[place])):
+                        step = (*order[where][2:4], ordinal, places)
+                        steps = [step] if then == at else [*steps, step]
+            found.append((key, steps))
+        return [(*v, newest[v[2]] == k, k >= len(known)) for k, v in enumerate(versions)], found
+
+    return whole_leaf
 
 
 def _learn_whole(rows: DataFrame, known: DataFrame | None, groups: int, similarity: float, max_groups: int | None) -> DataFrame:
@@ -277,6 +286,7 @@ def _learn_whole(rows: DataFrame, known: DataFrame | None, groups: int, similari
     )
     names = ["leaf", "since_us", "since_tie", "ordinal", "template", "newest", "new", "key", "steps"]
     step = ["since_us", "since_tie", "ordinal", "open"]
+    whole_leaf = _whole_leaf(similarity, max_groups)
 
     def learn(messages: pa.Table, held: pa.Table | None = None) -> pa.Table:
         tie = messages.schema.field("tie").type
@@ -289,7 +299,7 @@ def _learn_whole(rows: DataFrame, known: DataFrame | None, groups: int, similari
                 theirs.setdefault(leaf, []).append((ordinal, template))
         out: list[list] = [[] for _ in names]
         for leaf, mine in ours.items():
-            versions, found = _whole_leaf(mine, [t for _, t in sorted(theirs.get(leaf, []))], similarity, max_groups)
+            versions, found = whole_leaf(mine, [t for _, t in sorted(theirs.get(leaf, []))])
             for row in [(leaf, *v, None, None) for v in versions] + [(*[None] * 7, k, [dict(zip(step, s)) for s in x]) for k, x in found]:
                 for column, value in zip(out, row):
                     column.append(value)
